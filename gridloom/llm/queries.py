@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import split
+from gridloom.llm import encoding, split
 from gridloom.sources.tables import load
 
 
@@ -22,6 +22,15 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_oversized(_items(spark, folder), load(spark, folder, "size_limits"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.garbled_texts(load(spark, folder, "cells").select("global_id", "source_text")).select("global_id").distinct()
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    found = encoding.garbled_texts(load(spark, folder, "cells").select("global_id", "source_text"))
+    return found.select("global_id", "source_text", "encoding_repair.*").distinct()
+
+
 P1_FOUND_SQL = r"""
 WITH sec AS (
   SELECT 'section' AS item_kind, section_id::VARCHAR AS item_id,
@@ -31,5 +40,5 @@ WITH sec AS (
 SELECT DISTINCT i.item_kind, i.item_id FROM items i JOIN size_limits l USING (item_kind) WHERE length(i.text) > l.max_chars
 """
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired}
 SQL = {"p1_found": P1_FOUND_SQL}
