@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import encoding, split
+from gridloom.llm import encoding, split, unify
 from gridloom.sources.tables import load
 
 
@@ -31,6 +31,16 @@ def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("global_id", "source_text", "encoding_repair.*").distinct()
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    texts = unify.field_texts(load(spark, folder, "physical_rows"), load(spark, folder, "extracted_tables"))
+    return unify.altered_texts(texts).select("field", "table_id", "row_pos", "cell_pos").distinct()
+
+
+def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
+    texts = unify.field_texts(load(spark, folder, "physical_rows"), load(spark, folder, "extracted_tables"))
+    return unify.unified(texts).select("field", "table_id", "row_pos", "cell_pos", "text", "unified.clean", "unified.canonical").distinct()
+
+
 P1_FOUND_SQL = r"""
 WITH sec AS (
   SELECT 'section' AS item_kind, section_id::VARCHAR AS item_id,
@@ -40,5 +50,15 @@ WITH sec AS (
 SELECT DISTINCT i.item_kind, i.item_id FROM items i JOIN size_limits l USING (item_kind) WHERE length(i.text) > l.max_chars
 """
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired}
-SQL = {"p1_found": P1_FOUND_SQL}
+P4_FOUND_SQL = f"""
+WITH t AS (
+  SELECT 'raw_text' AS field, table_id, row_pos, generate_subscripts(cells, 1)::INT - 1 AS cell_pos, unnest(cells).raw_text AS text FROM physical_rows
+  UNION ALL
+  SELECT 'name', table_id, -1, generate_subscripts(columns, 1)::INT - 1, unnest(columns).name FROM extracted_tables
+)
+SELECT DISTINCT field, table_id, row_pos, cell_pos FROM t
+WHERE text IS NOT NULL AND (nfc_normalize(text) <> text OR regexp_matches(text, '{unify.case_class()}'))
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified}
+SQL = {"p1_found": P1_FOUND_SQL, "p4_found": P4_FOUND_SQL}
