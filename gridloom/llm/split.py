@@ -40,6 +40,8 @@ _BOUNDARIES = (
     (HEADING, re.compile(r"(?:\r\n|\n)(?=#{1,6} )")),
 )
 _SPACE = re.compile(r"\s+")
+#: Characters that belong to the one before them: accents, joiners, the line feed of CR LF.
+_GLUED = re.compile("(?<=\r)\n|[\u200d\ufe0f" + "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.combining(chr(c))) + "]|(?<=\u200d).")
 CUTS_TYPE = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "stop", "strength")]))
 
 
@@ -56,9 +58,9 @@ def boundaries(text: str, node_lengths: list[int] | None = None, separator: int
         at += n + separator
         if 0 < at < len(text):
             strength[at] = NODE_END
-    for i in np.flatnonzero(strength == 0):
-        if 0 < i < len(text) and (text[i - 1 : i + 1] == "\r\n" or unicodedata.combining(text[i]) or text[i] in "\u200d\ufe0f" or text[i - 1] == "\u200d"):
-            strength[i] = -1
+    for m in _GLUED.finditer(text):
+        if strength[m.end() - 1] == ANY:
+            strength[m.end() - 1] = -1
     return strength
 
 
