@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import encoding, split, unify
+from gridloom.llm import encoding, leak, split, unify
 from gridloom.sources.tables import load
 
 
@@ -41,6 +41,15 @@ def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
     return unify.unified(texts).select("field", "table_id", "row_pos", "cell_pos", "text", "unified.clean", "unified.canonical").distinct()
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leak.leaked_items(load(spark, folder, "documents").select("doc_id", "text"), load(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
+    clean = leak.without_leaks(load(spark, folder, "documents").select("doc_id", "text"), load(spark, folder, "eval_items"))
+    return clean.where("removed_words > 0").select("doc_id", "removed_words", "text").distinct()
+
+
 P1_FOUND_SQL = r"""
 WITH sec AS (
   SELECT 'section' AS item_kind, section_id::VARCHAR AS item_id,
@@ -60,5 +69,5 @@ SELECT DISTINCT field, table_id, row_pos, cell_pos FROM t
 WHERE text IS NOT NULL AND (nfc_normalize(text) <> text OR regexp_matches(text, '{unify.case_class()}'))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified, "p7_found": p7_found, "p7_clean": p7_clean}
 SQL = {"p1_found": P1_FOUND_SQL, "p4_found": P4_FOUND_SQL}
