@@ -157,6 +157,25 @@ LEAK_TYPE = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.
 CLEAN_TYPE = T.StructType([T.StructField("text", T.StringType()), T.StructField("removed_words", T.IntegerType()), T.StructField("all_words", T.IntegerType())])
 
 
+def _holders_column(shared):
+    @F.pandas_udf(LEAK_TYPE)
+    def holders(text: pd.Series) -> pd.Series:
+        automaton = shared.value
+        return pd.Series([[] if t is None else [{"item_id": i, "words": n} for i, n in automaton.holders(words(t)).items()] for t in text])
+
+    return holders
+
+
+def _cut_column(shared, coverage: float):
+    @F.pandas_udf(CLEAN_TYPE)
+    def cut(text: pd.Series) -> pd.DataFrame:
+        automaton = shared.value
+        rows = [(None, 0, 0) if t is None else (t, 0, 0) if not automaton.matches(words(t)) else cut_spans(t, automaton, coverage) for t in text]
+        return pd.DataFrame(rows, columns=["text", "removed_words", "all_words"])
+
+    return cut
+
+
 def _automata(items: DataFrame, min_words: int, block_words: int):
     """Broadcast automata over blocks of the items."""
     sc = items.sparkSession.sparkContext
@@ -173,15 +192,8 @@ def _automata(items: DataFrame, min_words: int, block_words: int):
 
 def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, words: the documents that hold a passage of an item, and its length."""
-    parts = []
-    for shared in _automata(items, min_words, block_words):
-
-        @F.pandas_udf(LEAK_TYPE)
-        def holders(text: pd.Series, shared=shared) -> pd.Series:
-            automaton = shared.value
-            return pd.Series([[] if t is None else [{"item_id": i, "words": n} for i, n in automaton.holders(words(t)).items()] for t in text])
-
-        parts.append(documents.where("text IS NOT NULL").select("doc_id", F.explode(holders("text")).alias("leak")).select("doc_id", "leak.item_id", "leak.words"))
+    texts = documents.where("text IS NOT NULL")
+    parts = [texts.select("doc_id", F.explode(_holders_column(shared)("text")).alias("leak")).select("doc_id", "leak.item_id", "leak.words") for shared in _automata(items, min_words, block_words)]
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -214,12 +226,5 @@ def without_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_W
     """
     out = documents.withColumn("removed_words", F.lit(0))
     for shared in _automata(items, min_words, block_words):
-
-        @F.pandas_udf(CLEAN_TYPE)
-        def cut(text: pd.Series, shared=shared) -> pd.DataFrame:
-            automaton = shared.value
-            rows = [(None, 0, 0) if t is None else (t, 0, 0) if not automaton.matches(words(t)) else cut_spans(t, automaton, coverage) for t in text]
-            return pd.DataFrame(rows, columns=["text", "removed_words", "all_words"])
-
-        out = out.withColumn("leak_cut", cut("text")).withColumns({"text": F.col("leak_cut.text"), "removed_words": F.col("removed_words") + F.col("leak_cut.removed_words")}).drop("leak_cut")
+        out = out.withColumn("leak_cut", _cut_column(shared, coverage)("text")).withColumns({"text": F.col("leak_cut.text"), "removed_words": F.col("removed_words") + F.col("leak_cut.removed_words")}).drop("leak_cut")
     return out
