@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import encoding, language, leak, split, unify
+from gridloom.llm import encoding, language, leak, mix, split, unify
 from gridloom.sources.tables import load
 
 
@@ -50,6 +50,14 @@ def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
     return clean.where("removed_words > 0").select("doc_id", "removed_words", "text").distinct()
 
 
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.mix(load(spark, folder, "documents").select("doc_id", "source", "text"), load(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.reached_shares(*mix.mix(load(spark, folder, "documents").select("doc_id", "source", "text"), load(spark, folder, "mix_targets")))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return language.unlabelled_languages(load(spark, folder, "documents").select("doc_id", "text", "lang"))
 
@@ -82,5 +90,5 @@ SELECT DISTINCT field, table_id, row_pos, cell_pos FROM t
 WHERE text IS NOT NULL AND (nfc_normalize(text) <> text OR regexp_matches(text, '{unify.case_class()}'))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified, "p7_found": p7_found, "p7_clean": p7_clean, "p9_found": p9_found, "p9_documents": p9_documents, "p9_passages": p9_passages}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified, "p7_found": p7_found, "p7_clean": p7_clean, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_documents": p9_documents, "p9_passages": p9_passages}
 SQL = {"p1_found": P1_FOUND_SQL, "p4_found": P4_FOUND_SQL}
