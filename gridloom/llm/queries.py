@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import encoding, language, leak, mix, split, unify
+from gridloom.llm import encoding, language, leak, mix, ocr, split, unify
 from gridloom.sources.tables import load
 
 
@@ -41,6 +41,19 @@ def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
     return unify.unified(texts).select("field", "table_id", "row_pos", "cell_pos", "text", "unified.clean", "unified.canonical").distinct()
 
 
+def _scanned(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.scanned_texts(load(spark, folder, "document_summary"), load(spark, folder, "physical_rows"), load(spark, folder, "cells"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.noisy_texts(_scanned(spark, folder)).select("field", "record_key").distinct()
+
+
+def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    noisy = ocr.repaired(_scanned(spark, folder)).where("scan.mended > 0 OR scan.corrected > 0 OR scan.furniture > 0")
+    return noisy.select("field", "record_key", "scan.*").distinct()
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaked_items(load(spark, folder, "documents").select("doc_id", "text"), load(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -90,5 +103,5 @@ SELECT DISTINCT field, table_id, row_pos, cell_pos FROM t
 WHERE text IS NOT NULL AND (nfc_normalize(text) <> text OR regexp_matches(text, '{unify.case_class()}'))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified, "p7_found": p7_found, "p7_clean": p7_clean, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_documents": p9_documents, "p9_passages": p9_passages}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_clean": p7_clean, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_documents": p9_documents, "p9_passages": p9_passages}
 SQL = {"p1_found": P1_FOUND_SQL, "p4_found": P4_FOUND_SQL}
