@@ -6,6 +6,9 @@ import functools
 import itertools
 import unicodedata
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 TONES = "̣̀́̃̉"
 
 # The parts of a written Vietnamese syllable; syllables are built from them by rule.
@@ -59,3 +62,39 @@ def ignorable_table() -> dict[int, None]:
 def space_table() -> dict[int, str]:
     """Every separator of the Unicode standard, mapped to the ordinary space."""
     return {c: " " for c in [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]}
+
+
+# Letters of other scripts and rare Latin letters beside the Latin letter they look like.
+_CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ԚQ ԜW"
+_GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ϲc ϳj"
+_RARE_LATIN = "ɡg ɑa ıi ÐĐ ƉĐ ɩi ℓl"
+LOOKALIKES: dict[str, str] = {x[0]: x[1] for x in f"{_CYRILLIC} {_GREEK} {_RARE_LATIN}".split()}
+
+
+@functools.cache
+def fold_pairs() -> tuple[str, str]:
+    """Letters and signs beside their plain ASCII form: accented, full-width and look-alike ones, powers."""
+    pairs = {c: LOOKALIKES[c] for c in LOOKALIKES}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        base = strip_accents(chr(code))
+        if len(base) == 1 and base.isascii():
+            pairs[chr(code)] = base
+    pairs |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+    pairs |= {chr(c): " " for c in space_table()} | {"²": "2", "³": "3", "đ": "d", "Đ": "D", "Ð": "D", "Ɖ": "D", "–": "-", "—": "-", "\n": " ", "\t": " "}
+    pairs = {a: (strip_accents(b) if b.isalpha() else b) for a, b in pairs.items()}
+    return "".join(pairs), "".join(pairs.values())
+
+
+def fold(column: Column) -> Column:
+    """A header or unit in plain small ASCII letters: JVM-side, for look-ups."""
+    source, target = fold_pairs()
+    gone = "[" + "".join(chr(c) for c in range(0x300, 0x370)) + ignorable_characters()[: -len(range(0xE0000, 0xE1000))] + "]"
+    plain = F.lower(F.translate(F.regexp_replace(column, gone, ""), source, target))
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+
+
+def fold_text(text: str) -> str:
+    """The same in Python."""
+    source, target = fold_pairs()
+    plain = "".join(c for c in text.translate(ignorable_table()) if not "̀" <= c <= "ͯ").translate(str.maketrans(source, target)).lower()
+    return " ".join(plain.split())

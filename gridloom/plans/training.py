@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.operators.snapshots import snapshot_deltas
+from gridloom.operators.units import convert_units
 from gridloom.sources.tables import load
 
 
+def _converted(spark: SparkSession, folder: str) -> DataFrame:
+    return convert_units(*(load(spark, folder, t) for t in ("cells", "extracted_tables", "unit_catalog")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    recorded = _converted(spark, folder).where("origin IN ('text', 'column', 'name', 'row') AND common_unit IS NOT NULL AND unit_code <> common_unit")
+    return recorded.select("global_id", "unit_code").distinct()
+
+
+def p2_converted(spark: SparkSession, folder: str) -> DataFrame:
+    return _converted(spark, folder).select("global_id", "unit_code", "origin", F.round("confidence", 4).alias("confidence"), "value", "common_unit", "common_value")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     deltas = snapshot_deltas(load(spark, folder, "summary_snapshots"), load(spark, folder, "numeric_index"))
     return deltas.select("snapshot_no", "record_kind", "record_key", "delta_type")
@@ -38,5 +53,5 @@ SELECT n.snapshot_no, record_kind, record_key, 'ValueMismatch' FROM n JOIN o USI
 WHERE NOT isnan(n.v) AND NOT isnan(o.v) AND abs(n.v - o.v) >= 1.0 AND NOT isnan(abs(n.v - o.v))
 """
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_converted": p2_converted, "p5_found": p5_found}
 SQL = {"p5_found": P5_FOUND_SQL}
