@@ -25,13 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.text import ignorable_characters, ignorable_table, space_table
+from gridloom.functions.text import LOOKALIKES, ignorable_characters, ignorable_table, space_table
 
-# Letters of other scripts and rare Latin letters beside the Latin letter they look like.
-_CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ԚQ ԜW"
-_GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ϲc ϳj"
-_RARE_LATIN = "ɡg ɑa ıi ÐĐ ƉĐ ɩi ℓl"
-LOOKALIKES = {x[0]: x[1] for x in f"{_CYRILLIC} {_GREEK} {_RARE_LATIN}".split()}
 #: Only inside a word with Latin letters: alone they are signs or letters of their own.
 _IN_WORDS = {"ν": "v", "α": "a", "ι": "i", "κ": "k", "ρ": "p", "υ": "u", "в": "b", "к": "k", "м": "m", "н": "h", "т": "t"}
 _FOREIGN_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
