@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom.functions.once import once
+
 
 def _one_separator(text: Column, separator: str) -> Column:
     """Digits with one kind of separator: decimal if it stands once with at most two bytes after it."""
@@ -20,13 +22,21 @@ def sanitize_number(raw: Column) -> Column:
     Brackets around or a minus before make it negative; l, I, O, o and S are read as digits; of two
     kinds of separators the last is the decimal one; only ordinary spaces may stand inside.
     """
-    text = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-    negative = (text.startswith("(") & text.endswith(")")) | text.startswith("-")
+    return once(F.regexp_replace(raw, r"(?U)^\s+|\s+$", ""), _signed)
+
+
+def _signed(text: Column) -> Column:
     digits = F.translate(F.regexp_replace(text, r"^[()\[\]-]+|[()\[\]-]+$", ""), "lIOoS", "11005")
-    digits = F.regexp_replace(digits, r"(?U)[^\d.,\s]", "")
-    comma, point = F.locate(",", F.reverse(digits)), F.locate(".", F.reverse(digits))
+    value = once(once(F.regexp_replace(digits, r"(?U)[^\d.,\s]", ""), _separators), _as_double)
+    return F.when((text.startswith("(") & text.endswith(")")) | text.startswith("-"), -value).otherwise(value)
+
+
+def _separators(digits: Column) -> Column:
+    comma, point = F.instr(F.reverse(digits), ","), F.instr(F.reverse(digits), ".")
     both = F.when(comma < point, F.translate(F.translate(digits, ".", ""), ",", ".")).otherwise(F.translate(digits, ",", ""))
     plain = F.when((comma > 0) & (point > 0), both).when(comma > 0, _one_separator(digits, ",")).when(point > 0, _one_separator(digits, ".")).otherwise(digits)
-    plain = F.translate(plain, " ", "")
-    value = F.when(plain.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)\z"), plain.try_cast("double"))
-    return F.when(negative, -value).otherwise(value)
+    return F.translate(plain, " ", "")
+
+
+def _as_double(plain: Column) -> Column:
+    return F.when(plain.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)\z"), plain.try_cast("double"))

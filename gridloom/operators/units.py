@@ -63,7 +63,7 @@ def number_cells(cells: DataFrame, columns: DataFrame) -> DataFrame:
     text_number, text_unit = written_number_and_unit(F.col("s"))
     _, source_unit = written_number_and_unit(F.col("source_text"))
     numbers = placed.withColumns({"text_number": F.when(F.col("tag") == "Text", text_number), "text_unit": F.when(F.col("tag") == "Text", text_unit), "source_unit": source_unit})
-    numbers = numbers.where("tag = 'Float' OR text_unit IS NOT NULL").withColumns(
+    numbers = numbers.where("tag = 'Float' OR (text_unit IS NOT NULL AND text_number IS NOT NULL)").withColumns(
         {
             "value": F.when(F.col("tag") == "Float", F.col("f")).otherwise(sanitize_number(F.col("text_number"))),
             "written_unit": F.coalesce("source_unit", "text_unit"),
