@@ -3,7 +3,7 @@
 Three kinds of noise are repaired: words broken by a hyphen over a line end, words and numbers with
 misread characters, and running headers and page number lines.
 
-* Vocabulary: the words of all texts are counted once, with a map-side combine.
+* Vocabulary: the words of all texts are counted once, combined before they are shuffled.
 * Misread words: correction candidates are retrieved by an inverted join on character q-grams of the
   words' shapes (a shape writes characters that scanners confuse alike); gradient-boosted ranking on
   edit, frequency and spelling features chooses the replacement; the exact check that the shapes are
@@ -192,13 +192,31 @@ def fit_ranker(words: list[tuple[str, int]], seed: int = 3) -> GradientBoosting:
 # ---------------------------------------------------------------- vocabulary and corrections
 
 
+#: Distinct words that a task holds before it hands its counts on.
+_HELD_WORDS = 200_000
+_TO_SPACE = dict.fromkeys(map(ord, '.,;:()"“”…/–—«»[]{}<>=*#_~^'), " ")
+_HALVES = re.compile(r"[^\W\d_'’]+(?:['’][^\W\d_]+)*-[ \t]*\r?\n[ \t]*[^\W\d_]*")
+_COUNTS = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+
+
+def _count_words(batches):
+    """Partial counts: what the map side of the aggregation would do, in one pass over each text."""
+    counts: Counter[str] = Counter()
+    for batch in batches:
+        for text in batch.text:
+            if "-\n" in text or "-\r\n" in text:  # the two halves of a word broken at a line end are no words
+                text = _HALVES.sub(" ", text)
+            counts.update(text.translate(_TO_SPACE).split())
+            if len(counts) > _HELD_WORDS:
+                yield pd.DataFrame({"word": counts.keys(), "n": counts.values()})
+                counts = Counter()
+    yield pd.DataFrame({"word": pd.Series(list(counts), dtype=object), "n": pd.Series(list(counts.values()), dtype="int64")})
+
+
 def vocabulary(texts: DataFrame) -> DataFrame:
     """word, n over all texts; numbers, codes and words with characters of other scripts are left out."""
-    # the two halves of a word broken at a line end are no words
-    whole = F.when(F.col("text").contains("-\n") | F.col("text").contains("-\r\n"), F.regexp_replace("text", _JAVA_BREAK[:-2] + "*)", " ")).otherwise(F.col("text"))
-    words = texts.select(F.explode(F.split(whole, _SEPARATORS)).alias("word"))
-    words = words.where(F.length("word").between(2, 26) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"^[A-Z]{1,2}\d+[A-Z]?$"))
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = texts.select("text").mapInPandas(_count_words, _COUNTS)
+    counted = counted.where(F.length("word").between(2, 26) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"^[A-Z]{1,2}\d+[A-Z]?$")).groupBy("word").agg(F.sum("n").alias("n"))
     plain = F.regexp_replace(F.lower("word"), r"^[-'’|]+|[-'’|]+$", "")
     letters = F.length(F.regexp_replace("word", r"[^\p{L}]", ""))
     return counted.groupBy(plain.alias("word")).agg(F.sum("n").alias("n")).where(F.col("word").rlike(_JAVA_WORD) & (letters >= 2) & (letters > F.length(F.regexp_replace("word", r"[^0-9]", ""))))
