@@ -59,6 +59,17 @@ MOST_LINE = 64
 _SEPARATORS = r"[\s.,;:()\"“”…/–—«»\[\]{}<>=*#_~^]+"
 _SPLIT = re.compile(_SEPARATORS)
 _EDGES = "-'’|"
+_SIGNS = '.,;:()"“”…/–—«»[]{}<>=*#_~^'
+
+
+def _tokens(text: str) -> list[str]:
+    """The same as splitting by the separators, by plain replacements: texts are long, signs few."""
+    for sign in _SIGNS:
+        if sign in text:
+            text = text.replace(sign, " ")
+    return text.split()
+
+
 #: Letters of the Latin alphabets and the signs that scanners put in their place.
 _JAVA_WORD = r"^[a-zß-öø-ÿăđĩũơưạ-ỹœ0-9!|+@¢°$&'’?-]{2,24}$"
 _CODE = re.compile(r"[A-Z]{1,2}\d+[A-Z]?")
@@ -194,7 +205,6 @@ def fit_ranker(words: list[tuple[str, int]], seed: int = 3) -> GradientBoosting:
 
 #: Distinct words that a task holds before it hands its counts on.
 _HELD_WORDS = 200_000
-_TO_SPACE = dict.fromkeys(map(ord, '.,;:()"“”…/–—«»[]{}<>=*#_~^'), " ")
 _HALVES = re.compile(r"[^\W\d_'’]+(?:['’][^\W\d_]+)*-[ \t]*\r?\n[ \t]*[^\W\d_]*")
 _COUNTS = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 
@@ -206,7 +216,7 @@ def _count_words(batches):
         for text in batch.text:
             if "-\n" in text or "-\r\n" in text:  # the two halves of a word broken at a line end are no words
                 text = _HALVES.sub(" ", text)
-            counts.update(text.translate(_TO_SPACE).split())
+            counts.update(_tokens(text))
             if len(counts) > _HELD_WORDS:
                 yield pd.DataFrame({"word": counts.keys(), "n": counts.values()})
                 counts = Counter()
@@ -471,7 +481,7 @@ class Fixes:
     def corrected(self, text: str) -> tuple[str, int]:
         """Text with its misread words and numbers corrected, and how many there were."""
         n = 0
-        if not self.keys.isdisjoint({t.strip(_EDGES) for t in _SPLIT.split(text.lower())}):
+        if not self.keys.isdisjoint({t.strip(_EDGES) for t in set(_tokens(text.lower()))}):
             parts = re.split(f"({_SEPARATORS})", text)
             for i in range(0, len(parts), 2):
                 fixed = self.correct(parts[i]) if parts[i] else None
@@ -499,7 +509,7 @@ def repair(text: str, fixes: Fixes, paragraphs: bool = True) -> tuple[str, int,
     for line in lines:
         if len(line) <= MOST_LINE and line.strip() and len(lines) > 1:
             template = mask(line)
-            if template in fixes.furniture or mask(fixes.corrected(line)[0]) in fixes.furniture:
+            if template in fixes.furniture or template[-1:] not in ".!?" and mask(fixes.corrected(line)[0]) in fixes.furniture:
                 removed += 1
                 continue
         kept.append(line)
