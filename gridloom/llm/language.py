@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.text import ignorable_table, strip_accents
+from gridloom.session import bounded_rows
 
 LANGUAGES = ("vi", "en", "fr", "de", "ja", "zh")
 #: Codes and names by which a label names a language; fixed values.
@@ -220,7 +221,7 @@ def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAG
     labelled = documents.where("text IS NOT NULL").select("doc_id", label_language(F.col("lang")).alias("lang")).where(F.col("lang").isin(*LANGUAGES))
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
     chosen = labelled.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).drop("place").dropDuplicates(["doc_id"])
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").limit(per_language * len(LANGUAGES)).toPandas()
+    return bounded_rows(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "language-sample").orderBy("doc_id").toPandas()
 
 
 # ---------------------------------------------------------------- segments

@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from gridloom.functions.text import is_vietnamese_syllable
 from gridloom.llm import encoding
 from gridloom.ml.boosting import GradientBoosting
-from gridloom.session import write_through
+from gridloom.session import bounded_rows, write_through
 
 MAX_FIXES = 500_000
 SAMPLE_WORDS, SAMPLE_LINES, SAMPLE_TEXTS = 3000, 20_000, 300
@@ -268,7 +268,7 @@ def word_fixes(vocab: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame:
     spark = vocab.sparkSession
     total = vocab.agg(F.sum("n")).first()[0] or 0
     letters = F.col("word").rlike(r"^[\p{L}'’-]+$")
-    sure = vocab.where(letters & (F.col("n") >= max(3.0, SURE_SHARE * total))).orderBy(F.desc("n"), "word").limit(SAMPLE_WORDS).collect()
+    sure = bounded_rows(vocab.where(letters & (F.col("n") >= max(3.0, SURE_SHARE * total))).orderBy(F.desc("n"), "word").limit(SAMPLE_WORDS), "sure-words").collect()
     shared = spark.sparkContext.broadcast(fit_ranker([(r.word, r.n) for r in sure]))
     shaped = vocab.withColumn("g", _grams_column("word")).select("word", "n", F.col("g.grams").alias("grams"), F.col("g.shape").alias("shape"))
     one = shaped.select("word", "n", F.size("grams").alias("k"), F.explode("grams").alias("gram"))
@@ -332,7 +332,8 @@ def _break_column(shared):
 
 def kept_hyphens(texts: DataFrame, vocab: DataFrame) -> DataFrame:
     """key ("left-right"): breaks at which the hyphen stays; elsewhere it goes."""
-    sample = vocab.where(F.col("word").rlike(r"^\p{L}+(-\p{L}+)?$")).orderBy(F.desc(F.col("n") * F.when(F.col("word").contains("-"), 1000).otherwise(1)), "word").limit(SAMPLE_WORDS).collect()
+    common = vocab.where(F.col("word").rlike(r"^\p{L}+(-\p{L}+)?$")).orderBy(F.desc(F.col("n") * F.when(F.col("word").contains("-"), 1000).otherwise(1)), "word").limit(SAMPLE_WORDS)
+    sample = bounded_rows(common, "common-words").collect()
     shared = vocab.sparkSession.sparkContext.broadcast(fit_breaks([(r.word, r.n) for r in sample]))
     broken = texts.where(F.col("text").contains("-\n") | F.col("text").contains("-\r\n"))
     pairs = broken.select(F.explode(F.arrays_zip(F.expr(rf"regexp_extract_all(text, r'{_JAVA_BREAK}', 1)".replace("'’", "’")).alias("l"), F.expr(rf"regexp_extract_all(text, r'{_JAVA_BREAK}', 2)".replace("'’", "’")).alias("r"))).alias("p"))
@@ -415,7 +416,7 @@ def furniture_lines(texts: DataFrame) -> DataFrame:
     """key: masked lines that are running headers or page numbers."""
     templates = write_through(line_templates(texts), "line-templates")
     columns = ["template", "n", "n_pages", "beside_page", "before_open", "after_small", "small"]
-    sample = templates.orderBy(F.desc("beside_page"), F.desc("n"), "template").limit(SAMPLE_LINES).select(*columns).collect()
+    sample = bounded_rows(templates.orderBy(F.desc("beside_page"), F.desc("n"), "template").limit(SAMPLE_LINES).select(*columns), "line-sample").collect()
     shared = templates.sparkSession.sparkContext.broadcast(fit_furniture([tuple(r) for r in sample]))
     numbers = [F.col("template"), *(F.col(c).cast("double") for c in columns[1:])]
     able = templates.where("n > 1 OR beside_page > 0").where(~F.col("template").rlike(r"[.!?:;,。]$"))
@@ -636,7 +637,7 @@ def repaired(texts: DataFrame, paragraphs: bool = True, max_fixes: int = MAX_FIX
     fixes = learn_fixes(texts)
     model = None
     if paragraphs:
-        sample = texts.where("field = 'markdown'").orderBy(F.xxhash64("record_key"), "record_key").limit(SAMPLE_TEXTS).select("text").collect()
+        sample = bounded_rows(texts.where("field = 'markdown'").orderBy(F.xxhash64("record_key"), "record_key").limit(SAMPLE_TEXTS).select("text"), "text-sample").collect()
         model = fit_paragraphs([r.text for r in sample])
     if fixes.count() <= max_fixes:
         shared = spark.sparkContext.broadcast(_as_fixes(((r.kind, r.key, r.value) for r in fixes.toLocalIterator()), model))
