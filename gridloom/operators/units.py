@@ -26,6 +26,7 @@ from gridloom.functions.numbers import sanitize_number
 from gridloom.functions.text import fold
 from gridloom.functions.unit_names import QUANTITY, UNIT_COLUMNS, name_without_unit, unit_in_name, unit_of, written_number_and_unit
 from gridloom.ml.boosting import GradientBoosting
+from gridloom.session import bounded_rows
 
 #: Labelled cells on which the classifier is fitted and calibrated.
 SAMPLE_ROWS = 12_000
@@ -133,7 +134,7 @@ def convert_units(cells: DataFrame, extracted_tables: DataFrame, unit_catalog: D
     # a written unit says nothing about a missing one: learn from the other places
     labelled = numbers.where("recorded IS NOT NULL").select("global_id", "recorded", *_features())
     order = F.xxhash64(F.lit(11), "global_id")
-    sample = labelled.orderBy(order, "global_id").limit(sample_rows).drop("global_id").toPandas()
+    sample = bounded_rows(labelled.orderBy(order, "global_id").limit(sample_rows).drop("global_id"), "unit-sample").toPandas()
     shared = numbers.sparkSession.sparkContext.broadcast(fit_units(sample))
     counted = F.col("needs_row") & F.col("row_unit_text").isNotNull() & F.col("recorded").isNull()
     missing = F.col("recorded").isNull() & ~F.coalesce(counted, F.lit(False))
