@@ -179,7 +179,7 @@ def _clusters(rows: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return centres
 
 
-def fit_centroids(sample: pd.DataFrame, clusters: int = CLUSTERS, rounds: int = 3, per_language: int = 700) -> Centroids:
+def fit_centroids(sample: pd.DataFrame, clusters: int = CLUSTERS, rounds: int = 3, per_language: int = 350) -> Centroids:
     """Fit on a sample with the columns text and lang (one of ``LANGUAGES``)."""
     texts: list[str] = []
     labels: list[int] = []
