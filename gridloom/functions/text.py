@@ -46,11 +46,19 @@ def strip_accents(text: str) -> str:
     return "".join(c for c in parts if not unicodedata.combining(c)).replace("đ", "d").replace("Đ", "D")
 
 
+#: Default-ignorable characters of the Unicode standard, as ranges; fixed values.
+_IGNORABLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
+
+
 @functools.cache
 def ignorable_characters() -> str:
-    """Default-ignorable characters of the Unicode standard, built from its ranges."""
-    ranges = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
-    return "".join(chr(c) for a, b in ranges for c in range(a, b + 1))
+    return "".join(chr(c) for a, b in _IGNORABLE for c in range(a, b + 1))
+
+
+@functools.cache
+def ignorable_class() -> str:
+    """The inside of a character class of a regular expression."""
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in _IGNORABLE)
 
 
 @functools.cache
@@ -88,7 +96,7 @@ def fold_pairs() -> tuple[str, str]:
 def fold(column: Column) -> Column:
     """A header or unit in plain small ASCII letters: JVM-side, for look-ups."""
     source, target = fold_pairs()
-    gone = "[" + "".join(chr(c) for c in range(0x300, 0x370)) + ignorable_characters()[: -len(range(0xE0000, 0xE1000))] + "]"
+    gone = f"[\u0300-\u036f{ignorable_class()}]"
     plain = F.lower(F.translate(F.regexp_replace(column, gone, ""), source, target))
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
