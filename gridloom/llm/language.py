@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.text import ignorable_table, strip_accents
+from gridloom.functions.text import ignorable_class, strip_accents
 from gridloom.session import bounded_rows
 
 LANGUAGES = ("vi", "en", "fr", "de", "ja", "zh")
@@ -68,6 +68,9 @@ def label_language(label: Column) -> Column:
 _END = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*|[。！？]+[」』）]*)$")
 
 
+_IDEOGRAPHS = re.compile("[\u3040-\u9fff]")
+
+
 def is_complete(sentence: str) -> bool:
     """Whether a sentence ends as one and has words enough not to be a title or a term."""
     if "|" in sentence or not _END.search(sentence):
@@ -75,8 +78,7 @@ def is_complete(sentence: str) -> bool:
     first = next((c for c in sentence if c.isalnum()), "")
     if first.islower():  # the rest of a sentence
         return False
-    ideographs = sum("぀" <= c <= "鿿" for c in sentence)
-    return ideographs >= 6 or len(sentence.split()) >= 4
+    return len(sentence.split(None, 4)) >= 4 or len(_IDEOGRAPHS.findall(sentence)) >= 6
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -98,8 +100,13 @@ def sentences(text: str) -> list[tuple[int, int]]:
 # ---------------------------------------------------------------- vectors
 
 
+_INVISIBLE = re.compile(f"[{ignorable_class()}]")
+
+
 def _plain(text: str) -> str:
-    text = unicodedata.normalize("NFC", text.translate(ignorable_table())).lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", _INVISIBLE.sub("", text))
+    text = text.lower()
     return " " + re.sub(r"[\W\d_]+", " ", text).strip() + " "
 
 
@@ -248,7 +255,10 @@ def _confidence(cosines: np.ndarray) -> np.ndarray:
 def segment_texts(texts: list[str | None], model: Centroids, least_cosine: float = LEAST_COSINE) -> list[list[dict]]:
     places = [[] if t is None else sentences(t) for t in texts]
     plain = [_plain(t[a:b]) for t, p in zip(texts, places, strict=True) for a, b in p]
-    cosines = model.cosines(plain)
+    # texts repeat sentences that differ in numbers only: each distinct one is compared once
+    number: dict[str, int] = {}
+    which = np.fromiter((number.setdefault(t, len(number)) for t in plain), np.int64, len(plain))
+    cosines = model.cosines(list(number))[which]
     best = cosines.argmax(1) if len(plain) else np.zeros(0, int)
     sure = _confidence(cosines) if len(plain) else np.zeros(0)
     top = cosines.max(1) if len(plain) else np.zeros(0)

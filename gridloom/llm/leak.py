@@ -29,23 +29,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.text import ignorable_characters, ignorable_table
+from gridloom.functions.text import ignorable_class
 
 #: Words of test items in one automaton; about 1 kB of memory a word.
 BLOCK_WORDS = 500_000
 MIN_WORDS = 14
 
 _WORD = re.compile(r"[^\W_]+")
+_INVISIBLE = re.compile(f"[{ignorable_class()}]")
 
 
 @functools.cache
 def _raw_word() -> re.Pattern:
-    marks = "".join(chr(c) for c in range(0x300, 0x370)) + re.escape(ignorable_characters())
-    return re.compile(rf"(?:[^\W_]|[{marks}])+")
+    return re.compile(rf"(?:[^\W_]|[\u0300-\u036f{ignorable_class()}])+")
 
 
 def _folded(text: str) -> str:
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text.translate(ignorable_table())).casefold())
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", _INVISIBLE.sub("", text)).casefold())
 
 
 def words(text: str) -> list[str]:
