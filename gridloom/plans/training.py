@@ -25,7 +25,7 @@ def p2_converted(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     deltas = snapshot_deltas(load(spark, folder, "summary_snapshots"), load(spark, folder, "numeric_index"))
-    return deltas.select("snapshot_no", "record_kind", "record_key", "delta_type")
+    return deltas.select("snapshot_no", "record_kind", "record_key", "delta_type").distinct()
 
 
 P5_FOUND_SQL = """
@@ -46,9 +46,9 @@ n AS (SELECT e.*, d.prev_no FROM e JOIN delivered d USING (snapshot_no, project_
 o AS (SELECT d.snapshot_no, e.project_code, e.record_kind, e.record_key, e.v
       FROM delivered d JOIN e ON e.project_code = d.project_code AND e.snapshot_no = d.prev_no)
 SELECT snapshot_no, record_kind, record_key, 'Added' AS delta_type FROM n ANTI JOIN o USING (snapshot_no, project_code, record_kind, record_key)
-UNION ALL
+UNION
 SELECT snapshot_no, record_kind, record_key, 'Removed' FROM o ANTI JOIN n USING (snapshot_no, project_code, record_kind, record_key)
-UNION ALL
+UNION
 SELECT n.snapshot_no, record_kind, record_key, 'ValueMismatch' FROM n JOIN o USING (snapshot_no, project_code, record_kind, record_key)
 WHERE NOT isnan(n.v) AND NOT isnan(o.v) AND abs(n.v - o.v) >= 1.0 AND NOT isnan(abs(n.v - o.v))
 """
