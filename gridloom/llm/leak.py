@@ -82,12 +82,6 @@ class SuffixAutomaton:
                 while up > 0 and item not in self.items[up]:
                     self.items[up].add(item)
                     up = self.link[up]
-        # of a long match, the items of the shortest suffix that is long enough hold all others
-        self.widest = list(range(len(self.link)))
-        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            if self.length[self.link[state]] >= min_words:
-                self.widest[state] = self.widest[self.link[state]]
-
     def _state(self, length: int, link: int, following: dict[str, int]) -> int:
         self.next.append(following)
         self.link.append(link)
@@ -116,28 +110,25 @@ class SuffixAutomaton:
         return new
 
     def matches(self, sequence: list[str]) -> list[tuple[int, int, int]]:
-        """(end, words, state) of each match of ``min_words`` words or more that cannot be lengthened to the right."""
+        """(end, words, state) of the longest match that ends at each word, where it is long enough.
+
+        Every place counts: while a match with one item goes on, the shorter match with another item
+        may have ended.
+        """
         following, link, length, least = self.next, self.link, self.length, self.min_words
-        root = following[0]
         found, state, n = [], 0, 0
-        for i, word in enumerate(sequence):
+        for i, word in enumerate(sequence, 1):
             to = following[state].get(word)
-            if to is not None:
-                state, n = to, n + 1
+            while to is None and state:
+                state = link[state]
+                n = length[state]
+                to = following[state].get(word)
+            if to is None:
+                n = 0
                 continue
+            state, n = to, n + 1
             if n >= least:
                 found.append((i, n, state))
-            while state and word not in following[state]:
-                state = link[state]
-                n = length[state]
-                if n >= least:  # a shorter passage of other items ends here as well
-                    found.append((i, n, state))
-            if word in root:
-                state, n = following[state][word], n + 1
-            else:
-                state, n = 0, 0
-        if n >= least:
-            found.append((len(sequence), n, state))
         return found
 
     def holders(self, sequence: list[str]) -> dict[int, int]:

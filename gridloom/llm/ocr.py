@@ -225,7 +225,7 @@ def _count_words(batches):
 
 def vocabulary(texts: DataFrame) -> DataFrame:
     """word, n over all texts; numbers, codes and words with characters of other scripts are left out."""
-    counted = texts.select("text").mapInPandas(_count_words, _COUNTS)
+    counted = texts.where("text IS NOT NULL").select("text").mapInPandas(_count_words, _COUNTS)
     counted = counted.where(F.length("word").between(2, 26) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"^[A-Z]{1,2}\d+[A-Z]?$")).groupBy("word").agg(F.sum("n").alias("n"))
     plain = F.regexp_replace(F.lower("word"), r"^[-'’|]+|[-'’|]+$", "")
     letters = F.length(F.regexp_replace("word", r"[^\p{L}]", ""))
@@ -318,7 +318,10 @@ def fit_breaks(words: list[tuple[str, int]], seed: int = 5) -> GradientBoosting:
                 i = rng.randint(1, len(w) - 1)
                 x.append(_break_features(w[:i], w[i:], n if rng.random() < 0.8 else 0, 0, counts.get(w[:i], 0), counts.get(w[i:], 0)))
                 y.append(1)
-    return GradientBoosting(trees=40, depth=3).fit(np.array(x).reshape(-1, 8), np.array(y, int))
+    # compounds are few: both kinds weigh the same
+    kept = max(1, len(y) - sum(y))
+    weight = np.where(np.array(y) == 0, max(1.0, sum(y) / kept), 1.0)
+    return GradientBoosting(trees=40, depth=3).fit(np.array(x).reshape(-1, 8), np.array(y, int), weight=weight)
 
 
 def _break_column(shared):
@@ -419,7 +422,7 @@ def furniture_lines(texts: DataFrame) -> DataFrame:
     sample = bounded_rows(templates.orderBy(F.desc("beside_page"), F.desc("n"), "template").limit(SAMPLE_LINES).select(*columns), "line-sample").collect()
     shared = templates.sparkSession.sparkContext.broadcast(fit_furniture([tuple(r) for r in sample]))
     numbers = [F.col("template"), *(F.col(c).cast("double") for c in columns[1:])]
-    able = templates.where("n > 1 OR beside_page > 0").where(~F.col("template").rlike(r"[.!?:;,。]$"))
+    able = templates.where((F.col("n") > 1) | (F.col("beside_page") > 0) | F.col("template").rlike(_PAGE_SHAPE)).where(~F.col("template").rlike(r"[.!?:;,。]$"))
     return able.where(_furniture_column(shared)(*numbers) >= 0.5).select(F.col("template").alias("key"), F.lit("").alias("value"))
 
 

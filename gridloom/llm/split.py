@@ -151,7 +151,7 @@ def split_plans(items: DataFrame, size_limits: DataFrame) -> DataFrame:
     anything moves or enters Python.
     """
     limits = size_limits.where("item_kind IS NOT NULL AND max_chars > 0").groupBy("item_kind").agg(F.min("max_chars").alias("max_chars"), F.coalesce(F.max("overlap_chars"), F.lit(0)).alias("overlap_chars"))
-    over = items.join(limits, "item_kind").where(F.length("text") > F.col("max_chars"))
+    over = items.select("item_kind", "item_id", "text", "node_lengths", "as_of").join(limits, "item_kind").where(F.length("text") > F.col("max_chars"))
     held = over.groupBy("item_kind", "item_id").agg(F.max_by(F.struct("text", "node_lengths", "max_chars", "overlap_chars"), F.coalesce("as_of", F.lit("0001-01-01").cast("timestamp_ntz"))).alias("held")).select("item_kind", "item_id", "held.*")
     return held.withColumn("cuts", _cuts("text", "node_lengths", "max_chars", "overlap_chars"))
 
