@@ -26,7 +26,7 @@ from gridloom.functions.numbers import sanitize_number
 from gridloom.functions.text import fold
 from gridloom.functions.unit_names import QUANTITY, UNIT_COLUMNS, name_without_unit, unit_in_name, unit_of, written_number_and_unit
 from gridloom.ml.boosting import GradientBoosting
-from gridloom.session import bounded_rows
+from gridloom.session import bounded_rows, write_through
 
 #: Labelled cells on which the classifier is fitted and calibrated.
 SAMPLE_ROWS = 12_000
@@ -58,19 +58,33 @@ def table_columns(extracted_tables: DataFrame) -> DataFrame:
 
 def number_cells(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """Number cells with their recorded unit and where it stands."""
-    thin = cells.where("global_id IS NOT NULL AND tag IN ('Float', 'Text')").select("global_id", "table_id", "row_pos", "col_pos", "tag", "f", "s", "source_text")
-    placed = thin.join(columns, ["table_id", "col_pos"], "left")
-    units = placed.where("is_unit AND tag = 'Text'").groupBy("table_id", "row_pos").agg(F.min_by("s", F.struct("col_pos", "s")).alias("row_unit_text"))
+    able = cells.where("global_id IS NOT NULL AND tag IN ('Float', 'Text')").select("global_id", "table_id", "row_pos", "col_pos", "tag", "f", "s", "source_text")
     text_number, text_unit = written_number_and_unit(F.col("s"))
     _, source_unit = written_number_and_unit(F.col("source_text"))
-    numbers = placed.withColumns({"text_number": F.when(F.col("tag") == "Text", text_number), "text_unit": F.when(F.col("tag") == "Text", text_unit), "source_unit": source_unit})
-    numbers = numbers.where("tag = 'Float' OR (text_unit IS NOT NULL AND text_number IS NOT NULL)").withColumns(
+    is_text = F.col("tag") == "Text"
+    # texts are read where they lie; only what they say is moved to the tables' columns
+    thin = able.select(
+        "global_id",
+        "table_id",
+        "row_pos",
+        "col_pos",
+        F.when(is_text, text_number).alias("number"),
+        F.when(is_text, text_unit).alias("text_unit"),
+        source_unit.alias("source_unit"),
+        F.when(is_text, F.col("s")).alias("s"),
+        "f",
+        is_text.alias("is_text"),
+        F.length(F.regexp_extract("source_text", r"[.,](\d{1,2})\D*$", 1)).cast("double").alias("decimals"),
+    )
+    placed = thin.join(columns, ["table_id", "col_pos"], "left")
+    units = placed.where("is_unit AND is_text").groupBy("table_id", "row_pos").agg(F.min_by("s", F.struct("col_pos", "s")).alias("row_unit_text"))
+    numbers = placed.where("NOT is_text OR (text_unit IS NOT NULL AND number IS NOT NULL)").withColumns(
         {
-            "value": F.when(F.col("tag") == "Float", F.col("f")).otherwise(sanitize_number(F.col("text_number"))),
+            "value": F.when(F.col("is_text"), sanitize_number(F.col("number"))).otherwise(F.col("f")),
             "written_unit": F.coalesce("source_unit", "text_unit"),
             "needs_row": F.coalesce(F.col("is_quantity"), F.lit(False)) & F.coalesce("source_unit", "text_unit", "column_unit", "name_unit").isNull(),
         }
-    )
+    ).drop("s", "f", "number")
     with_row = numbers.join(units, ["table_id", "row_pos"], "left")
     row_unit = F.when(F.col("needs_row"), unit_of(fold(F.col("row_unit_text"))))
     return with_row.withColumns({"row_unit": row_unit, "recorded": F.coalesce("written_unit", "column_unit", "name_unit", row_unit)}).withColumn(
@@ -84,7 +98,7 @@ def _features() -> list[Column]:
     return [
         F.when(F.abs("value") > 0, F.log10(F.abs("value"))).alias("magnitude"),
         bucket("base").alias("kind"),
-        F.length(F.regexp_extract("source_text", r"[.,](\d{1,2})\D*$", 1)).cast("double").alias("decimals"),
+        F.col("decimals"),
         F.coalesce((F.col("value") < 0).cast("double"), F.lit(0.0)).alias("negative"),
         bucket("project_code").alias("source"),
         bucket("tool_version").alias("tool"),
@@ -130,7 +144,8 @@ def convert_units(cells: DataFrame, extracted_tables: DataFrame, unit_catalog: D
     ``origin`` is text, column, name or row for recorded units, predicted for confident predictions,
     review for uncertain ones (no conversion) and counted for things that have no unit.
     """
-    numbers = number_cells(cells, table_columns(extracted_tables))
+    # used twice, for the sample and for the prediction
+    numbers = write_through(number_cells(cells, table_columns(extracted_tables)), "number-cells")
     # a written unit says nothing about a missing one: learn from the other places
     labelled = numbers.where("recorded IS NOT NULL").select("global_id", "recorded", *_features())
     order = F.xxhash64(F.lit(11), "global_id")
