@@ -53,7 +53,7 @@ _SIGNS_IN_WORDS = frozenset("'’‘-–./+&_")
 _PLAIN_SIGNS = frozenset("≤≥±×÷½¼¾°²³µØΦ–—“”‘’«»…•₫€§№′″")
 _WORD = re.compile(r"[^\W\d_²³¹¼½¾]+")
 _LONE = frozenset("ØΦφµđĐøñæœßà")
-_LOST_LETTER = re.compile(r"(?<=[^\W\d_])\?+(?=[^\W_])|(?<!\S)\?+(?=[^\W\d_]{1,})|(?<=[^\W\d_])\?{2,}|(?<!\S)\?{2,}(?!\S)")
+_LOST_LETTER = re.compile(r"(?<=[^\W\d_])\?+(?=[^\W_])|(?<!\S)\?+(?=[^\W\d_]{1,})|(?<=[^\W\d_])\?{2,}|(?<=\d)\s?[^\W\d_]{1,2}\?(?=[\s,.;)]|$)|(?<!\S)\?{2,}(?!\S)")
 
 
 @functools.cache
@@ -124,6 +124,10 @@ def _pair(wrong: str, right: str, word: str) -> str | None:
         return None
 
 
+#: Accents after a vowel that neither French nor German write: what VNI marks look like.
+_AFTER_VOWEL = re.compile(r"[aeiouy][âàåãä]|[aeiuy]ù|[aeiuy]û|aï[^sfvrqn]|[ae]ô|[iuy]ø|[aeiouy]á")
+
+
 @functools.lru_cache(1 << 16)
 def _letters_cost(word: str) -> float:
     """Cost of a run of letters."""
@@ -147,6 +151,10 @@ def _letters_cost(word: str) -> float:
     low = word.lower()
     if all(c.isascii() or c in _FRENCH_GERMAN for c in low):
         cost += 0.15 if len(marks) * 2 <= len(word) else 1.5
+        if _AFTER_VOWEL.search(low):
+            cost += 1.0
+        elif is_vietnamese_syllable(low + "́"):  # a stopped syllable without its tone
+            cost += 0.45
     else:
         cost += 1.2 + 0.3 * len(marks)
     if not (word.islower() or word.isupper() or word[1:].islower()):
@@ -309,6 +317,10 @@ def _families(text: str):
     yield 0.5, 1.0, utf8
 
 
+def _all_vietnamese(text: str) -> bool:
+    return all(m.group().isascii() and len(m.group()) == 1 or is_vietnamese_syllable(m.group()) for m in _WORD.finditer(text))
+
+
 def _gone(text: str) -> bool:
     """Whether characters are lost beyond repair."""
     return "�" in text or bool(_LOST_LETTER.search(text)) or any("\x80" <= c < "\xa0" for c in text)
@@ -322,7 +334,7 @@ def repair(text: str) -> tuple[str, str | None, str | None]:
     """(status, restored text, the layers) of one text; status '' where it is clean."""
     before = cost(text)
     if before < 0.5:
-        return "", None, None
+        return ("lost" if _LOST_LETTER.search(text) else ""), None, None
     now, layers = text, []
     while len(layers) < MAX_LAYERS and before >= 0.3:
         for least, stays, steps in _families(now):
@@ -334,6 +346,8 @@ def repair(text: str) -> tuple[str, str | None, str | None]:
             if steps[0][0].startswith(CJK):
                 tried = [x for x in tried if _mostly_cjk(x[2])]
             best = min(tried, default=None)
+            if best is not None and least > 0.5 and 0.5 <= before - best[0] < least and _all_vietnamese(best[2]):
+                least = 0.5  # little evidence, but every word of the text becomes a syllable
             if best is not None and before - best[0] >= least and (steps[0][0].startswith("utf-8") or best[0] <= stays * before):
                 before, label, now = best
                 layers.append(label)

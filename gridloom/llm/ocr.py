@@ -74,6 +74,7 @@ def _tokens(text: str) -> list[str]:
 _JAVA_WORD = r"^[a-zß-öø-ÿăđĩũơưạ-ỹœ0-9!|+@¢°$&'’?-]{2,24}$"
 _CODE = re.compile(r"[A-Z]{1,2}\d+[A-Z]?")
 _NUMBER = re.compile(r"(?<![\w.,])[-(]?(?=[\dlIOoS.,]*[lIOoS])(?=[lIOoS.,]*\d|[lIOoS]+[.,]\d)[\dlIOoS]{1,3}(?:[., ]?[\dlIOoS]{3})*[.,][\dlIOoS]{1,2}(?![\dlIOoS])")
+_WHOLE_NUMBER = re.compile(r"\s*([-(]?(?=[\dlIOoS.,  ]*[lIOoS])(?=[^\d]*\d)[\dlIOoS]{1,3}(?:[.,  ]?[\dlIOoS]{3})*[.,][\dlIOoS]{1,2}\)?)(\s?[^\W\d]?[^\d]{0,11})")
 _DIGITS = str.maketrans("lIOoS", "11005")
 
 _JAVA_BREAK = r"([\p{L}'’]+)-[ \t]*\r?\n[ \t]*([\p{L}'’]+)"
@@ -493,7 +494,11 @@ class Fixes:
                     parts[i] = fixed
                     n += 1
             text = "".join(parts)
-        if _MAYBE_NUMBER.search(text):
+        whole = _WHOLE_NUMBER.fullmatch(text) if len(text) < 40 else None
+        if whole:
+            text = whole.group(1).translate(_DIGITS) + whole.group(2)
+            n += 1
+        elif _MAYBE_NUMBER.search(text):
             text, k = _NUMBER.subn(lambda m: m.group().translate(_DIGITS), text)
             n += k
         return text, n
