@@ -3,7 +3,8 @@
 Three kinds of noise are repaired: words broken by a hyphen over a line end, words and numbers with
 misread characters, and running headers and page number lines.
 
-* Vocabulary: the words of all texts are counted once, combined before they are shuffled.
+* Counts: words, short lines and line-end breaks of all texts are counted in one pass, combined
+  before they are shuffled.
 * Misread words: correction candidates are retrieved by an inverted join on character q-grams of the
   words' shapes (a shape writes characters that scanners confuse alike); gradient-boosted ranking on
   edit, frequency and spelling features chooses the replacement; the exact check that the shapes are
@@ -37,7 +38,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +76,7 @@ _JAVA_WORD = r"^[a-zß-öø-ÿăđĩũơưạ-ỹœ0-9!|+@¢°$&'’?-]{2,24}$"
 _CODE = re.compile(r"[A-Z]{1,2}\d+[A-Z]?")
 _NUMBER = re.compile(r"(?<![\w.,])[-(]?(?=[\dlIOoS.,]*[lIOoS])(?=[lIOoS.,]*\d|[lIOoS]+[.,]\d)[\dlIOoS]{1,3}(?:[., ]?[\dlIOoS]{3})*[.,][\dlIOoS]{1,2}(?![\dlIOoS])")
 _WHOLE_NUMBER = re.compile(r"\s*([-(]?(?=[\dlIOoS.,  ]*[lIOoS])(?=[^\d]*\d)[\dlIOoS]{1,3}(?:[.,  ]?[\dlIOoS]{3})*[.,][\dlIOoS]{1,2}\)?)(\s?[^\W\d]?[^\d]{0,11})")
+_CONFUSABLE = frozenset("lIOoS")
 _DIGITS = str.maketrans("lIOoS", "11005")
 
 _JAVA_BREAK = r"([\p{L}'’]+)-[ \t]*\r?\n[ \t]*([\p{L}'’]+)"
@@ -204,33 +206,79 @@ def fit_ranker(words: list[tuple[str, int]], seed: int = 3) -> GradientBoosting:
 # ---------------------------------------------------------------- vocabulary and corrections
 
 
-#: Distinct words that a task holds before it hands its counts on.
-_HELD_WORDS = 200_000
-_HALVES = re.compile(r"[^\W\d_'’]+(?:['’][^\W\d_]+)*-[ \t]*\r?\n[ \t]*[^\W\d_]*")
-_COUNTS = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+#: Distinct words, lines and breaks that a task holds before it hands its counts on.
+_HELD_KEYS = 200_000
+_FACTS = ["n", "n_pages", "beside_page", "before_open", "after_small", "small"]
+_FACTS_TYPE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), *(T.StructField(c, T.LongType()) for c in _FACTS)])
+_LETTERS = r"[^\W\d_'’]+(?:['’][^\W\d_]+)*"
+_BREAK = re.compile(rf"({_LETTERS})-[ \t]*\r?\n[ \t]*([^\W\d_]*(?:['’][^\W\d_]+)*)")
+_STRUCTURE = re.compile(r"\s*(?:[#|*]|- [^\d])")
+_HAS_CONTENT = re.compile(r"[^\W_]")
+_OPEN_END = re.compile(r"[.!?:;。]\s*$|^\s*$")
+_SMALL_START = re.compile(r"\s*[^\W\d_]")
 
 
-def _count_words(batches):
-    """Partial counts: what the map side of the aggregation would do, in one pass over each text."""
-    counts: Counter[str] = Counter()
+def _is_page(line: str) -> bool:
+    return len(line) <= 20 and bool(_PAGE.match(mask(line)))
+
+
+def _starts_small(line: str) -> bool:
+    m = _SMALL_START.match(line)
+    return bool(m) and m.group()[-1].islower()
+
+
+def _count_lines(text: str, pages: bool, facts: dict[str, list[int]]) -> None:
+    lines = text.replace("\r", "").split("\n")
+    last = len(lines) - 1
+    for i, line in enumerate(lines):
+        if len(line) > MOST_LINE or _STRUCTURE.match(line) or not _HAS_CONTENT.search(line):
+            continue
+        before, after = lines[i - 1] if i else "", lines[i + 1] if i < last else ""
+        own = facts.setdefault(mask(line), [0, 0, 0, 0, 0, 0])
+        own[0] += 1
+        if pages:
+            own[1] += 1
+            own[2] += _is_page(before) or _is_page(after)
+        own[3] += not _OPEN_END.search(before)
+        own[4] += _starts_small(after)
+        own[5] += _starts_small(line)
+
+
+def _count_facts(batches):
+    """Partial counts of words, short lines and line-end breaks, in one pass over each text."""
+
+    def handed_on():
+        rows = [("word", w, n, 0, 0, 0, 0, 0) for w, n in words.items()] + [("line", k, *v) for k, v in lines.items()] + [("break", f"{a}\n{b}", n, 0, 0, 0, 0, 0) for (a, b), n in breaks.items()]
+        return pd.DataFrame(rows, columns=["kind", "key", *_FACTS])
+
+    words, lines, breaks = Counter(), {}, Counter()
     for batch in batches:
-        for text in batch.text:
-            if "-\n" in text or "-\r\n" in text:  # the two halves of a word broken at a line end are no words
-                text = _HALVES.sub(" ", text)
-            counts.update(_tokens(text))
-            if len(counts) > _HELD_WORDS:
-                yield pd.DataFrame({"word": counts.keys(), "n": counts.values()})
-                counts = Counter()
-    yield pd.DataFrame({"word": pd.Series(list(counts), dtype=object), "n": pd.Series(list(counts.values()), dtype="int64")})
-
-
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """word, n over all texts; numbers, codes and words with characters of other scripts are left out."""
-    counted = texts.where("text IS NOT NULL").select("text").mapInPandas(_count_words, _COUNTS)
-    counted = counted.where(F.length("word").between(2, 26) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"^[A-Z]{1,2}\d+[A-Z]?$")).groupBy("word").agg(F.sum("n").alias("n"))
+        for field, text in zip(batch.field, batch.text, strict=True):
+            if "\n" in text:
+                _count_lines(text, field == "markdown", lines)
+                if "-" in text:  # the two halves of a word broken at a line end are no words
+                    breaks.update((a.lower(), b.lower()) for a, b in _BREAK.findall(text) if b)
+                    text = _BREAK.sub(" ", text)
+            words.update(_tokens(text))
+            if len(words) + len(lines) + len(breaks) > _HELD_KEYS:
+                yield handed_on()
+                words, lines, breaks = Counter(), {}, Counter()
+    yield handed_on()
+
+
+def text_facts(texts: DataFrame) -> DataFrame:
+    """kind, key and counts of all words, short lines and line-end breaks of all texts."""
+    counted = texts.where("text IS NOT NULL").select("field", "text").mapInPandas(_count_facts, _FACTS_TYPE)
+    return write_through(counted.groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in _FACTS)), "text-facts")
+
+
+def vocabulary(facts: DataFrame) -> DataFrame:
+    """word, n; numbers, codes and words with characters of other scripts are left out."""
+    words = facts.where("kind = 'word'").select(F.col("key").alias("word"), "n")
+    words = words.where(F.length("word").between(2, 26) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"^[A-Z]{1,2}\d+[A-Z]?$"))
     plain = F.regexp_replace(F.lower("word"), r"^[-'’|]+|[-'’|]+$", "")
     letters = F.length(F.regexp_replace("word", r"[^\p{L}]", ""))
-    return counted.groupBy(plain.alias("word")).agg(F.sum("n").alias("n")).where(F.col("word").rlike(_JAVA_WORD) & (letters >= 2) & (letters > F.length(F.regexp_replace("word", r"[^0-9]", ""))))
+    return words.groupBy(plain.alias("word")).agg(F.sum("n").alias("n")).where(F.col("word").rlike(_JAVA_WORD) & (letters >= 2) & (letters > F.length(F.regexp_replace("word", r"[^0-9]", ""))))
 
 
 _GRAMS = T.StructType([T.StructField("grams", T.ArrayType(T.StringType())), T.StructField("shape", T.StringType())])
@@ -334,14 +382,13 @@ def _break_column(shared):
     return goes
 
 
-def kept_hyphens(texts: DataFrame, vocab: DataFrame) -> DataFrame:
+def kept_hyphens(facts: DataFrame, vocab: DataFrame) -> DataFrame:
     """key ("left-right"): breaks at which the hyphen stays; elsewhere it goes."""
     common = vocab.where(F.col("word").rlike(r"^\p{L}+(-\p{L}+)?$")).orderBy(F.desc(F.col("n") * F.when(F.col("word").contains("-"), 1000).otherwise(1)), "word").limit(SAMPLE_WORDS)
     sample = bounded_rows(common, "common-words").collect()
     shared = vocab.sparkSession.sparkContext.broadcast(fit_breaks([(r.word, r.n) for r in sample]))
-    broken = texts.where(F.col("text").contains("-\n") | F.col("text").contains("-\r\n"))
-    pairs = broken.select(F.explode(F.arrays_zip(F.expr(rf"regexp_extract_all(text, r'{_JAVA_BREAK}', 1)".replace("'’", "’")).alias("l"), F.expr(rf"regexp_extract_all(text, r'{_JAVA_BREAK}', 2)".replace("'’", "’")).alias("r"))).alias("p"))
-    pairs = pairs.select(F.lower("p.l").alias("left"), F.lower("p.r").alias("right")).distinct()
+    halves = F.split("key", "\n")
+    pairs = facts.where("kind = 'break'").select(halves[0].alias("left"), halves[1].alias("right"))
     roles = F.explode(F.create_map(F.lit("joined"), F.concat("left", "right"), F.lit("compound"), F.concat_ws("-", "left", "right"), F.lit("a"), F.col("left"), F.lit("b"), F.col("right")))
     known = pairs.select("left", "right", roles.alias("role", "word")).join(vocab, "word", "left")
     counts = known.groupBy("left", "right").agg(*(F.coalesce(F.max(F.when(F.col("role") == r, F.col("n"))), F.lit(0)).cast("double").alias(r) for r in ("joined", "compound", "a", "b")))
@@ -361,32 +408,6 @@ def mask(line: str) -> str:
     return _MASK.sub("#", line.strip().lower())
 
 
-def line_templates(texts: DataFrame) -> DataFrame:
-    """How each masked short line of texts of several lines occurs between other lines."""
-    lines = texts.where(F.col("text").contains("\n")).select("field", F.split(F.regexp_replace("text", "\r", ""), "\n").alias("lines"))
-    around = F.transform(
-        F.sequence(F.lit(1), F.size("lines")),
-        lambda i: F.struct(F.element_at("lines", i).alias("line"), F.when(i > 1, F.element_at("lines", F.greatest(i - 1, F.lit(1)))).otherwise("").alias("before"), F.when(i < F.size("lines"), F.element_at("lines", F.least(i + 1, F.size("lines")))).otherwise("").alias("after")),
-    )
-    short = lines.select("field", F.explode(F.filter(around, lambda x: (F.length(x["line"]) <= MOST_LINE) & x["line"].rlike(r"[\p{L}\d]") & ~x["line"].rlike(r"^\s*(?:[#|*]|- [^\d])"))).alias("x"))
-
-    def masked(column: str) -> Column:
-        return F.regexp_replace(F.lower(F.trim(column)), _JAVA_MASK, "#")
-
-    def page(column: str) -> Column:
-        return (F.length(column) <= 20) & masked(column).rlike(_PAGE_SHAPE)
-
-    in_pages = F.col("field") == "markdown"
-    return short.groupBy(masked("x.line").alias("template")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(in_pages).alias("n_pages"),
-        F.count_if(in_pages & (page("x.before") | page("x.after"))).alias("beside_page"),
-        F.count_if(~F.col("x.before").rlike(r"[.!?:;。]\s*$|^\s*$")).alias("before_open"),
-        F.count_if(F.col("x.after").rlike(r"^\s*\p{Ll}")).alias("after_small"),
-        F.count_if(F.col("x.line").rlike(r"^\s*\p{Ll}")).alias("small"),
-    )
-
-
 def _line_features(template: str, n: float, n_pages: float, beside: float, before_open: float, after_small: float, small: float) -> list[float]:
     ends = template[-1:] in ".!?;:,。"
     return [math.log1p(n), beside / max(1.0, n_pages), before_open / n, after_small / n, small / n, float(ends), float("#" in template), float(len(template)), float(len(template.split())), float(bool(_PAGE.match(template)))]
@@ -416,9 +437,9 @@ def _furniture_column(shared):
     return furniture
 
 
-def furniture_lines(texts: DataFrame) -> DataFrame:
+def furniture_lines(facts: DataFrame) -> DataFrame:
     """key: masked lines that are running headers or page numbers."""
-    templates = write_through(line_templates(texts), "line-templates")
+    templates = facts.where("kind = 'line'").withColumnRenamed("key", "template")
     columns = ["template", "n", "n_pages", "beside_page", "before_open", "after_small", "small"]
     sample = bounded_rows(templates.orderBy(F.desc("beside_page"), F.desc("n"), "template").limit(SAMPLE_LINES).select(*columns), "line-sample").collect()
     shared = templates.sparkSession.sparkContext.broadcast(fit_furniture([tuple(r) for r in sample]))
@@ -495,7 +516,7 @@ class Fixes:
                     n += 1
             text = "".join(parts)
         whole = _WHOLE_NUMBER.fullmatch(text) if len(text) < 40 else None
-        if whole:
+        if whole and not _CONFUSABLE.isdisjoint(whole.group(1)):
             text = whole.group(1).translate(_DIGITS) + whole.group(2)
             n += 1
         elif _MAYBE_NUMBER.search(text):
@@ -585,8 +606,9 @@ def scanned_texts(document_summary: DataFrame, physical_rows: DataFrame, cells:
 
 def learn_fixes(texts: DataFrame) -> DataFrame:
     """kind, key, value: everything learnt from all texts."""
-    vocab = write_through(vocabulary(texts), "vocabulary")
-    kinds = {"word": word_fixes(vocab), "hyphen": kept_hyphens(texts, vocab), "line": furniture_lines(texts)}
+    facts = text_facts(texts)
+    vocab = write_through(vocabulary(facts), "vocabulary")
+    kinds = {"word": word_fixes(vocab), "hyphen": kept_hyphens(facts, vocab), "line": furniture_lines(facts)}
     return write_through(functools.reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("kind"), "key", "value") for k, df in kinds.items()]), "fixes")
 
 
