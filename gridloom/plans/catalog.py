@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.hashing import hex_padded, row_hash, two_decimals
 from gridloom.functions.normalize import accent_pairs, extension, file_name, global_id, normalize_header, normalize_null, normalize_number, normalize_unit, progress_percent, unknown_share
 from gridloom.functions.numbers import sanitize_number
-from gridloom.operators import diff, export, index, layout, rules, truth, validate
+from gridloom.operators import diff, export, headers as header_ops, index, layout, rules, truth, validate
 from gridloom.plans import fixtures as fx
 from gridloom.session import scratch_path
 from gridloom.sources.documents import process_documents, scan_errors
@@ -305,6 +305,54 @@ def unknown_characters(spark: SparkSession, folder: str) -> DataFrame:
     return cells.where("share > 0.01").distinct()
 
 
+# ---------------------------------------------------------------- headers
+
+_SQL_NAMES = "n AS (SELECT DISTINCT table_id, generate_subscripts(columns, 1)::INT - 1 AS col_pos, unnest(columns).name AS name FROM (SELECT DISTINCT table_id, columns FROM extracted_tables))"
+
+
+def _names(spark: SparkSession, folder: str) -> DataFrame:
+    tables = load(spark, folder, "extracted_tables").select("table_id", "columns").distinct()
+    return tables.select("table_id", F.posexplode("columns").alias("col_pos", "c")).select("table_id", "col_pos", F.col("c.name").alias("name"))
+
+
+@_query(
+    "sniff_header",
+    f"""WITH r AS (SELECT DISTINCT table_id, row_pos, cells FROM physical_rows WHERE row_pos < 20),
+s AS (SELECT table_id, row_pos, len([1 FOR c IN cells IF c.numeric_value IS NOT NULL]) AS numbers, len([1 FOR c IN cells IF coalesce(regexp_replace(c.raw_text, '{_UNICODE_SPACE}+', '', 'g'), '') <> '']) AS filled, len(cells) AS k FROM r),
+q AS (SELECT *, CASE WHEN numbers > 0.7 * k THEN 0 ELSE filled - numbers END AS score FROM s)
+SELECT table_id, row_pos AS header_row, score FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY score DESC, row_pos) AS rn FROM q) WHERE rn = 1""",
+)
+def sniff_header(spark: SparkSession, folder: str) -> DataFrame:
+    found = header_ops.sniff_header(load(spark, folder, "physical_rows").select("table_id", "row_pos", "cells").distinct())
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
+_WANTED = ["khoi_luong", "don_vi", "hang_muc", "thanh_tien", "ghi_chu", "ngay_lap"]
+
+
+@_query("fuzzy_headers")
+def fuzzy_headers(spark: SparkSession, folder: str) -> DataFrame:
+    return header_ops.matched_headers(_names(spark, folder), _WANTED)
+
+
+@_query(
+    "merged_headers",
+    f"""WITH {_SQL_NAMES}, e AS (SELECT table_id, col_pos, CASE WHEN col_pos % 3 = 0 THEN name ELSE '' END AS name FROM n),
+m AS (SELECT *, CASE WHEN regexp_replace(name, '{_UNICODE_SPACE}+', '', 'g') <> '' THEN name END AS own FROM e),
+b AS (SELECT *, last_value(own IGNORE NULLS) OVER w AS base, count(own) OVER w AS part FROM m WINDOW w AS (PARTITION BY table_id ORDER BY col_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+k AS (SELECT *, row_number() OVER (PARTITION BY table_id, part ORDER BY col_pos) - 1 AS i FROM b)
+SELECT table_id, col_pos, CASE WHEN base IS NULL THEN '' WHEN i = 0 THEN base WHEN i = 1 THEN base || '_sub' ELSE base || '_sub_' || i END AS filled FROM k""",
+)
+def merged_headers(spark: SparkSession, folder: str) -> DataFrame:
+    return header_ops.fill_merged(_names(spark, folder).withColumn("name", F.when(F.col("col_pos") % 3 == 0, F.col("name")).otherwise("")))
+
+
+@_query("canonical_columns")
+def canonical_columns(spark: SparkSession, folder: str) -> DataFrame:
+    names = _names(spark, folder).select("name").distinct()
+    return names.withColumn("canonical", header_ops.canonical_column(normalize_header(F.col("name"))))
+
+
 # ---------------------------------------------------------------- truth tables
 
 _SQL_TRUTH = """
