@@ -210,8 +210,32 @@ def fit_ranker(words: list[tuple[str, int]], seed: int = 3) -> GradientBoosting:
 _HELD_KEYS = 200_000
 _FACTS = ["n", "n_pages", "beside_page", "before_open", "after_small", "small"]
 _FACTS_TYPE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), *(T.StructField(c, T.LongType()) for c in _FACTS)])
-_LETTERS = r"[^\W\d_'’]+(?:['’][^\W\d_]+)*"
-_BREAK = re.compile(rf"({_LETTERS})-[ \t]*\r?\n[ \t]*([^\W\d_]*(?:['’][^\W\d_]+)*)")
+_LINE_END = re.compile(r"-[ \t]*\r?\n[ \t]*")
+
+
+def _in_word(c: str) -> bool:
+    return c.isalpha() or c in "'’"
+
+
+def _split_breaks(text: str) -> tuple[str, list[tuple[str, str]]]:
+    """The text without the words broken at line ends, and their halves."""
+    out, halves, at = [], [], 0
+    for m in _LINE_END.finditer(text):
+        start, stop = m.start(), m.end()
+        while start > at and _in_word(text[start - 1]):
+            start -= 1
+        while stop < len(text) and _in_word(text[stop]):
+            stop += 1
+        if start == m.start():
+            continue
+        if stop > m.end():
+            halves.append((text[start : m.start()].lower(), text[m.end() : stop].lower()))
+        out += [text[at:start], " "]
+        at = stop
+    out.append(text[at:])
+    return "".join(out), halves
+
+
 _STRUCTURE = re.compile(r"\s*(?:[#|*]|- [^\d])")
 _HAS_CONTENT = re.compile(r"[^\W_]")
 _OPEN_END = re.compile(r"[.!?:;。]\s*$|^\s*$")
@@ -256,9 +280,8 @@ def _count_facts(batches):
         for field, text in zip(batch.field, batch.text, strict=True):
             if "\n" in text:
                 _count_lines(text, field == "markdown", lines)
-                if "-" in text:  # the two halves of a word broken at a line end are no words
-                    breaks.update((a.lower(), b.lower()) for a, b in _BREAK.findall(text) if b)
-                    text = _BREAK.sub(" ", text)
+                text, halves = _split_breaks(text)
+                breaks.update(halves)
             words.update(_tokens(text))
             if len(words) + len(lines) + len(breaks) > _HELD_KEYS:
                 yield handed_on()
@@ -526,7 +549,7 @@ class Fixes:
 
 
 _MAYBE_NUMBER = re.compile(r"[lIOoS][.,]?\d|\d[.,]?[lIOoS]")
-_ENDS_BROKEN = re.compile(r"[^\W\d_]-[ \t]*$")
+_ENDS_BROKEN = re.compile(r"[^\W\d_]-[ \t]{0,3}$")
 
 
 def repair(text: str, fixes: Fixes, paragraphs: bool = True) -> tuple[str, int, int, int]:
@@ -549,7 +572,7 @@ def repair(text: str, fixes: Fixes, paragraphs: bool = True) -> tuple[str, int,
     out: list[str] = []
     while i < len(kept):
         line = kept[i]
-        while _ENDS_BROKEN.search(line):
+        while "-" in line[-4:] and _ENDS_BROKEN.search(line):
             j = i + 1
             while j < len(kept) and not kept[j].strip() and removed:  # a page may end within the word
                 j += 1
