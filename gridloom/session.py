@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +57,27 @@ def bounded_rows(df: DataFrame, name: str) -> DataFrame:
     driver; written first, they are merged by an executor and the driver reads the limit only.
     """
     return write_through(df, name)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, unless they find it through PYTHONPATH.
+
+    Arrow UDFs name functions of the package, so each Python worker must be able to import it.
+    """
+    package = Path(__file__).resolve().parent
+    context = spark.sparkContext
+    on_path = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if package.parent in on_path or context.applicationId in _SHIPPED:
+        return
+    folder = shared_folder(spark)
+    place = Path(folder.removeprefix("file://")) if folder.startswith("file:") else Path(tempfile.mkdtemp(prefix="gridloom-"))
+    place.mkdir(parents=True, exist_ok=True)
+    archive = place / f"gridloom-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent).as_posix())
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
