@@ -19,7 +19,6 @@ Defined results for odd input:
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 
@@ -207,12 +206,15 @@ def fit_centroids(sample: pd.DataFrame, clusters: int = CLUSTERS, rounds: int =
     rows, idf = _dense(texts)
     label, part = np.array(labels), np.array(group)
     keep = np.ones(len(texts), bool)
-    for _ in range(rounds):
+    for n in range(rounds):
+        # first one centroid per language: its right labels outweigh the wrong ones, which would
+        # make a cluster of their own otherwise
+        k = clusters if n else 1
         matrix, owners = [], []
         for g in np.unique(part):
             own = rows[keep & (part == g)]
             if len(own):
-                centres = _clusters(own, clusters)
+                centres = _clusters(own, k)
                 # a centre that holds few sentences may be made of wrong labels
                 share = np.bincount(np.argmax(own @ centres.T, axis=1), minlength=len(centres)) / len(own)
                 centres = centres[share >= min(0.12, share.max())]

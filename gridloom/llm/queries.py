@@ -103,5 +103,14 @@ SELECT DISTINCT field, table_id, row_pos, cell_pos FROM t
 WHERE text IS NOT NULL AND (nfc_normalize(text) <> text OR regexp_matches(text, '{unify.case_class()}'))
 """
 
+_INVISIBLE = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in unify.ignorable_characters() if ord(c) < 0x10000) + "]"
+P7_FOUND_SQL = f"""
+WITH t AS (SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM eval_items),
+w AS (SELECT kind, id, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '{_INVISIBLE}', '', 'g'))), '[\\p{{L}}\\p{{N}}]+') AS words FROM t WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT kind, id, array_to_string(list_slice(words, k, k + {leak.MIN_WORDS - 1}), ' ') AS gram
+      FROM (SELECT kind, id, words, unnest(range(1, len(words) - {leak.MIN_WORDS - 2})) AS k FROM w WHERE len(words) >= {leak.MIN_WORDS}))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i USING (gram) WHERE d.kind = 'doc' AND i.kind = 'item'
+"""
+
 QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_unified": p4_unified, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p7_clean": p7_clean, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_documents": p9_documents, "p9_passages": p9_passages}
-SQL = {"p1_found": P1_FOUND_SQL, "p4_found": P4_FOUND_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p7_found": P7_FOUND_SQL}
