@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,8 +73,9 @@ def ship_package(spark: SparkSession) -> None:
     on_path = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if package.parent in on_path or context.applicationId in _SHIPPED:
         return
-    folder = shared_folder(spark)
-    place = Path(folder.removeprefix("file://")) if folder.startswith("file:") else Path(tempfile.mkdtemp(prefix="gridloom-"))
+    # the archive is read by the driver only, which serves it to the executors
+    folder = urlparse(shared_folder(spark))
+    place = Path(folder.path) if folder.scheme == "file" else Path(tempfile.mkdtemp(prefix="gridloom-"))
     place.mkdir(parents=True, exist_ok=True)
     archive = place / f"gridloom-{uuid.uuid4().hex}.zip"
     with zipfile.ZipFile(archive, "w") as z:
