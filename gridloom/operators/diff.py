@@ -59,6 +59,19 @@ def table_diff(old: DataFrame, new: DataFrame, key: list[str] | None = None, seq
     return both.withColumn("kind", kind).where("kind IS NOT NULL").select(*key, "kind", "old_value", "new_value", F.when(F.col("kind") == "Modified", F.abs(F.col("old_value") - F.col("new_value"))).alias("delta"))
 
 
+def snapshot_pairs(entries: DataFrame, delivered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Old and new entries of every comparison of a project's snapshot with its previous delivered one.
+
+    ``delivered`` (project_code, snapshot_no) has the deliveries; rows with a null are none.  On both
+    sides ``snapshot_no`` is the later of the two and belongs into the key of the diff.
+    """
+    once = delivered.where("project_code IS NOT NULL AND snapshot_no IS NOT NULL").select("project_code", "snapshot_no").distinct()
+    previous = F.lag("snapshot_no").over(Window.partitionBy("project_code").orderBy("snapshot_no"))
+    pairs = once.withColumn("previous_no", previous).where("previous_no IS NOT NULL")
+    old = entries.withColumnRenamed("snapshot_no", "previous_no").join(pairs, ["project_code", "previous_no"]).drop("previous_no")
+    return old, entries.join(pairs.drop("previous_no"), ["project_code", "snapshot_no"])
+
+
 def content_rows(rows: DataFrame, table_key: list[str], epsilon_free: str = "numeric_value") -> DataFrame:
     """Numeric cells of rows keyed by what the row says instead of where it stands.
 
@@ -80,15 +93,20 @@ def content_diff(old: DataFrame, new: DataFrame, table_key: list[str], epsilon:
 _DELTA_COLUMNS = ["pass", "kind", *CELL_KEY, "heading_id", "old_value", "new_value", "delta", "old_level", "new_level"]
 
 
-def diff_documents(sections: tuple[DataFrame, DataFrame], headings: tuple[DataFrame, DataFrame], cells: tuple[DataFrame, DataFrame], epsilon: float = VALUE_EPSILON) -> DataFrame:
-    """Deltas of all three passes in one table: 1 sections, 2 headings, 3 cells."""
+def diff_documents(sections: tuple[DataFrame, DataFrame], headings: tuple[DataFrame, DataFrame], cells: tuple[DataFrame, DataFrame], epsilon: float = VALUE_EPSILON, section_key: list[str] | None = None) -> DataFrame:
+    """Deltas of all three passes in one table: 1 sections, 2 headings, 3 cells.
+
+    Columns of ``section_key`` besides section_id come first and are null in the other passes.
+    """
+    section_key = section_key or ["section_id"]
+    columns = [*(c for c in section_key if c != "section_id"), *_DELTA_COLUMNS]
 
     def shaped(df: DataFrame, number: int) -> DataFrame:
-        types = {"heading_id": "bigint", "old_value": "double", "new_value": "double", "delta": "double", "old_level": "int", "new_level": "int", "section_id": "bigint", "table_id": "bigint", "row_idx": "int", "col_idx": "int"}
+        types = {"heading_id": "bigint", "old_value": "double", "new_value": "double", "delta": "double", "old_level": "int", "new_level": "int", "section_id": "bigint", "table_id": "bigint", "row_idx": "int", "col_idx": "int", **{c: t for c, t in sections[0].dtypes if c in section_key}}
         full = df.withColumn("pass", F.lit(number))
-        return full.select(*(F.col(c) if c in full.columns else F.lit(None).cast(types[c]).alias(c) for c in _DELTA_COLUMNS))
+        return full.select(*(F.col(c) if c in full.columns else F.lit(None).cast(types[c]).alias(c) for c in columns))
 
-    return shaped(section_diff(*sections), 1).unionByName(shaped(heading_diff(*headings), 2)).unionByName(shaped(table_diff(*cells, epsilon=epsilon), 3))
+    return shaped(section_diff(*sections, section_key), 1).unionByName(shaped(heading_diff(*headings), 2)).unionByName(shaped(table_diff(*cells, epsilon=epsilon), 3))
 
 
 def diff_summary(deltas: DataFrame) -> DataFrame:
@@ -102,8 +120,8 @@ def diff_summary(deltas: DataFrame) -> DataFrame:
     ).withColumn("is_identical", F.col("total_deltas") == 0)
 
 
-def report_rows(deltas: DataFrame) -> DataFrame:
-    """Deltas as report rows: node_id, location, kind, old_value and new_value as texts."""
+def report_rows(deltas: DataFrame, *keep: str) -> DataFrame:
+    """Deltas as report rows: columns to keep, node_id, location, kind, old_value and new_value as texts."""
     hashed = deltas.withColumn("row_hash", row_hash("section_id", "table_id", F.col("row_idx").cast("long")))
     node = F.when(F.col("pass") == 3, F.col("row_hash").bitwiseXOR(F.col("col_idx").cast("long"))).when(F.col("pass") == 2, F.col("heading_id")).otherwise(F.col("section_id"))
     new_mark = F.when(F.col("kind") == "Added", " [NEW]").otherwise("")
@@ -112,6 +130,7 @@ def report_rows(deltas: DataFrame) -> DataFrame:
     changed = F.col("kind") == "Modified"
     level = F.concat(F.lit("Heading level changed: H"), "old_level", F.lit(" → H"), "new_level")
     return hashed.select(
+        *keep,
         hex_padded(node).alias("node_id"),
         location.alias("location"),
         "kind",

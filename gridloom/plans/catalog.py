@@ -9,6 +9,7 @@ from gridloom.functions.hashing import hex_padded, row_hash, two_decimals
 from gridloom.functions.normalize import accent_pairs, extension, file_name, global_id, normalize_header, normalize_null, normalize_number, normalize_unit, progress_percent, unknown_share
 from gridloom.functions.numbers import sanitize_number
 from gridloom.operators import diff, export, headers as header_ops, index, layout, rules, truth, validate
+from gridloom.operators.snapshots import section_entries
 from gridloom.plans import fixtures as fx
 from gridloom.session import scratch_path
 from gridloom.sources.documents import process_documents, scan_errors
@@ -77,6 +78,55 @@ def snapshot_table_diff(spark: SparkSession, folder: str) -> DataFrame:
     return diff.table_diff(entries.where("snapshot_no = 1"), entries.where("snapshot_no = 2"), _SNAPSHOT_KEY, "seq")
 
 
+_SQL_PAIRS = """
+pairs AS (SELECT * FROM (SELECT project_code, snapshot_no, lag(snapshot_no) OVER (PARTITION BY project_code ORDER BY snapshot_no) AS previous_no
+          FROM (SELECT DISTINCT project_code, snapshot_no FROM summary_snapshots WHERE project_code IS NOT NULL AND snapshot_no IS NOT NULL))
+          WHERE previous_no IS NOT NULL)"""
+
+
+@_query(
+    "snapshot_table_deltas",
+    f"""
+WITH {_SQL_PAIRS},
+d AS (SELECT snapshot_no, project_code, section_id, table_id, row_idx, col_idx, max({{'seq': coalesce(seq, -9223372036854775808), 'v': numeric_value}}).v AS v
+      FROM numeric_index WHERE numeric_value IS NOT NULL GROUP BY ALL),
+a AS (SELECT p.snapshot_no, project_code, section_id, table_id, row_idx, col_idx, v AS old_value, 1 AS oa
+      FROM d JOIN pairs p USING (project_code) WHERE d.snapshot_no = p.previous_no),
+b AS (SELECT p.snapshot_no, project_code, section_id, table_id, row_idx, col_idx, v AS new_value, 1 AS ob
+      FROM d JOIN pairs p USING (project_code) WHERE d.snapshot_no = p.snapshot_no)
+SELECT snapshot_no, project_code, section_id, table_id, row_idx, col_idx,
+       CASE WHEN oa IS NULL THEN 'Added' WHEN ob IS NULL THEN 'Removed' ELSE 'Modified' END AS kind,
+       old_value, new_value, CASE WHEN oa = 1 AND ob = 1 THEN abs(old_value - new_value) END AS delta
+FROM a FULL JOIN b USING (snapshot_no, project_code, section_id, table_id, row_idx, col_idx)
+WHERE oa IS NULL OR ob IS NULL OR (abs(old_value - new_value) >= 1.0 AND NOT isnan(abs(old_value - new_value)))
+""",
+)
+def snapshot_table_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    entries = load(spark, folder, "numeric_index").where("numeric_value IS NOT NULL")
+    return diff.table_diff(*diff.snapshot_pairs(entries, load(spark, folder, "summary_snapshots")), ["snapshot_no", *_SNAPSHOT_KEY], "seq")
+
+
+_SECTION_KEY = ["snapshot_no", "project_code", "id", "section_id"]
+_SQL_SECTION_DELTAS = f"""
+{_SQL_PAIRS},
+held AS (SELECT snapshot_no, project_code, id, max({{'seq': coalesce(seq, -9223372036854775808), 'ids': coalesce(section_ids, [])}}).ids AS ids
+         FROM summary_snapshots WHERE id IS NOT NULL AND project_code IS NOT NULL AND snapshot_no IS NOT NULL GROUP BY ALL),
+s AS (SELECT DISTINCT * FROM (SELECT snapshot_no, project_code, id, unnest(ids) AS section_id FROM held) WHERE section_id IS NOT NULL),
+so AS (SELECT p.snapshot_no, project_code, id, section_id FROM s JOIN pairs p USING (project_code) WHERE s.snapshot_no = p.previous_no),
+sn AS (SELECT p.snapshot_no, project_code, id, section_id FROM s JOIN pairs p USING (project_code) WHERE s.snapshot_no = p.snapshot_no),
+sd AS ((SELECT *, 'Removed' AS kind FROM (SELECT * FROM so EXCEPT SELECT * FROM sn)) UNION ALL (SELECT *, 'Added' FROM (SELECT * FROM sn EXCEPT SELECT * FROM so)))"""
+
+
+def _section_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    snapshots = load(spark, folder, "summary_snapshots")
+    return diff.snapshot_pairs(section_entries(snapshots).select(*_SECTION_KEY), snapshots)
+
+
+@_query("snapshot_section_deltas", f"WITH {_SQL_SECTION_DELTAS} SELECT * FROM sd")
+def snapshot_section_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    return diff.section_diff(*_section_pairs(spark, folder), _SECTION_KEY)
+
+
 @_query(
     "section_diff",
     """
@@ -163,6 +213,33 @@ def diff_summary(spark: SparkSession, folder: str) -> DataFrame:
     return diff.diff_summary(_report(spark, folder))
 
 
+def _report_of_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = fx.lines(spark, folder)
+    old, new = (h.select(F.col("section_id").bitwiseXOR(F.col("node_pos").cast("long")).alias("heading_id"), "level") for h in _headings(spark, folder))
+    return diff.diff_documents(_section_pairs(spark, folder), (old, new), (fx.version_a(rows), fx.version_b(rows)), section_key=_SECTION_KEY)
+
+
+_SQL_REPORT_OF_PAIRS = f"""{_SQL_REPORT}, {_SQL_SECTION_DELTAS.lstrip()},
+rp AS (SELECT snapshot_no, project_code, id, 1 AS pass, kind, section_id, NULL::BIGINT AS table_id, NULL::INT AS row_idx, NULL::INT AS col_idx, NULL::BIGINT AS heading_id, NULL::DOUBLE AS old_value, NULL::DOUBLE AS new_value, NULL::DOUBLE AS delta, NULL::INT AS old_level, NULL::INT AS new_level FROM sd
+       UNION ALL SELECT NULL, NULL, NULL, pass, kind, section_id, table_id, row_idx, col_idx, heading_id, old_value, new_value, delta, old_level, new_level FROM r WHERE pass > 1)
+"""
+
+
+@_query("snapshot_diff_report", _SQL_REPORT_OF_PAIRS + "SELECT * FROM rp")
+def snapshot_diff_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _report_of_pairs(spark, folder)
+
+
+@_query(
+    "snapshot_diff_summary",
+    _SQL_REPORT_OF_PAIRS
+    + """SELECT count(*) AS total_deltas, count(*) FILTER (kind = 'Added') AS added, count(*) FILTER (kind = 'Removed') AS removed,
+       count(*) FILTER (kind = 'Modified' AND pass = 3) AS value_mismatches, count(*) FILTER (kind = 'Modified' AND pass = 2) AS structural_changes, count(*) = 0 AS is_identical FROM rp""",
+)
+def snapshot_diff_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return diff.diff_summary(_report_of_pairs(spark, folder))
+
+
 _SQL_ROW_HASH = """
 m AS (SELECT section_id, table_id, row_idx, ((section_id::UHUGEINT * 5871781006564002453::UHUGEINT) % 18446744073709551616::UHUGEINT + table_id::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM cells_),
 rot AS (SELECT *, ((x * 32::UHUGEINT) % 18446744073709551616::UHUGEINT) + (x // 576460752303423488::UHUGEINT) AS y FROM m)"""
@@ -176,7 +253,7 @@ def row_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("report_rows")
 def report_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return diff.report_rows(_report(spark, folder))
+    return diff.report_rows(_report_of_pairs(spark, folder), "snapshot_no", "project_code")
 
 
 @_query("formatted_values", f"WITH {fx.SQL_VERSIONS}, p3 AS ({_SQL_TABLE_DIFF}) SELECT table_id, row_idx, col_idx, printf('%.2f', old_value) AS old_text, printf('%.2f', new_value) AS new_text FROM p3 WHERE kind = 'Modified'")

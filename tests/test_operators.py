@@ -61,6 +61,29 @@ def test_section_and_heading_diff(spark):
     assert diff.heading_diff(heads((1, 1), (2, 2)), heads((2, 2), (1, 1))).count() == 0
 
 
+def test_snapshot_pairs_take_the_previous_delivered_snapshot(spark):
+    delivered = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A"), (1, "B"), (3, "B"), (3, "B"), (2, "C"), (2, None)], "snapshot_no int, project_code string")
+    rows = [(1, "A", 10.0), (2, "A", 20.0), (3, "A", 20.5), (1, "B", 1.0), (3, "B", 5.0), (2, "C", 7.0)]
+    entries = spark.createDataFrame(rows, "snapshot_no int, project_code string, numeric_value double")
+    found = diff.table_diff(*diff.snapshot_pairs(entries, delivered), ["snapshot_no", "project_code"])
+    assert sorted((r.snapshot_no, r.project_code, r.kind, r.old_value, r.new_value) for r in found.collect()) == [(2, "A", "Modified", 10.0, 20.0), (3, "B", "Modified", 1.0, 5.0)]
+
+
+def test_snapshot_queries_cover_all_pairs(spark, data):
+    from collections import Counter
+
+    from gridloom.operators.snapshots import snapshot_deltas
+    from gridloom.plans.catalog import QUERIES
+    from gridloom.sources.tables import load
+
+    wanted = Counter((r.snapshot_no, r.project_code, r.record_kind, r.delta_type) for r in snapshot_deltas(load(spark, data, "summary_snapshots"), load(spark, data, "numeric_index")).collect())
+    found = Counter((r.snapshot_no, r.project_code, "cell", r.kind.replace("Modified", "ValueMismatch")) for r in QUERIES["snapshot_table_deltas"](spark, data).collect())
+    found += Counter((r.snapshot_no, r.project_code, "section", r.kind) for r in QUERIES["snapshot_section_deltas"](spark, data).collect())
+    assert found == wanted and len({k[0] for k in wanted}) > 1
+    reported = Counter(r.snapshot_no for r in QUERIES["report_rows"](spark, data).where("snapshot_no IS NOT NULL").collect())
+    assert reported == Counter(r.snapshot_no for r in QUERIES["snapshot_section_deltas"](spark, data).collect())
+
+
 def test_content_diff_does_not_cascade(spark):
     def rows(*names):
         return spark.createDataFrame([("t", i, "Data", [(n, None), ("", float(v))]) for i, (n, v) in enumerate(names)], schema.PHYSICAL_ROWS)
