@@ -79,8 +79,6 @@ _WHOLE_NUMBER = re.compile(r"\s*([-(]?(?=[\dlIOoS.,  ]*[lIOoS])(?=[^\d]*\d)[\dlI
 _CONFUSABLE = frozenset("lIOoS")
 _DIGITS = str.maketrans("lIOoS", "11005")
 
-_JAVA_BREAK = r"([\p{L}'’]+)-[ \t]*\r?\n[ \t]*([\p{L}'’]+)"
-
 # ---------------------------------------------------------------- shapes of words
 
 # Every character is written as the strokes that scanners mistake for it, so that rn and m, cl and d,
@@ -423,7 +421,6 @@ def kept_hyphens(facts: DataFrame, vocab: DataFrame) -> DataFrame:
 _PAGE_SHAPE = r"^[-–—\[(|~* ]*(?:(?:trang|tr|page|p|seite|s|pg)[. ]+)?#(?: *(?:/|of|sur|von|trên|de) *#)?[-–—\])|~* ]*(?:(?:page|trang) *)?$"
 _PAGE = re.compile(_PAGE_SHAPE)
 _MASK = re.compile(r"(?<![^\W_])[a-z]?\d+(?![^\W_])")
-_JAVA_MASK = r"(?<![\p{L}\d])[a-z]?\d+(?![\p{L}\d])"
 
 
 def mask(line: str) -> str:
@@ -672,6 +669,69 @@ def _repair_column(shared, paragraphs: bool):
     return column
 
 
+class _Asked:
+    """Known fixes of one kind that note every key they are asked for."""
+
+    def __init__(self, known: dict[str, str]):
+        self.known, self.asked = known, set()
+
+    def __contains__(self, key: str) -> bool:
+        self.asked.add(key)
+        return key in self.known
+
+    def get(self, key: str) -> str | None:
+        self.asked.add(key)
+        return self.known.get(key)
+
+    def isdisjoint(self, keys: set[str]) -> bool:
+        self.asked |= keys
+        return self.known.keys().isdisjoint(keys)
+
+
+def asked_keys(text: str | None, pages: bool, known: list[tuple[str, str, str]]) -> set[tuple[str, str]]:
+    """(kind, key) of everything that the repair of a text looks up, given what is known."""
+    by = {kind: _Asked({k: v for d, k, v in known if d == kind}) for kind in ("word", "hyphen", "line")}
+    fixes = Fixes({}, by["hyphen"], by["line"])
+    fixes.words = fixes.keys = by["word"]
+    _mend(text, fixes, pages, False)
+    return {(kind, key) for kind, one in by.items() for key in one.asked if key}
+
+
+_NO_FIXES = "CAST(array() AS array<struct<kind:string,key:string,value:string>>)"
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _asked_column(pages: pd.Series, text: pd.Series, own: pd.Series, asked: pd.Series) -> pd.Series:
+    done = []
+    for p, t, rows, before in zip(pages, text, own, asked, strict=True):
+        keys = asked_keys(t, bool(p), [(r["kind"], r["key"], r["value"]) for r in rows])
+        done.append(sorted({f"{kind}\n{key}" for kind, key in keys} - set(before)))
+    return pd.Series(done, dtype="object")
+
+
+def _own_fixes(keyed: DataFrame, fixes: DataFrame) -> DataFrame:
+    """pages, text_no, own: the fixes that the repair of each distinct text looks up.
+
+    What is looked up depends on what was found before: a corrected line may be a known header, and
+    a removed page line may leave a broken word.  Texts that were given something are asked again,
+    until no text is given anything new; a round takes those texts only.
+    """
+    found = fixes.select(F.concat_ws("\n", "kind", "key").alias("ask"), F.struct("kind", "key", "value").alias("fix"))
+    state = keyed.where("text IS NOT NULL").select("pages", "text_no", "text").dropDuplicates(["pages", "text_no"]).withColumns({"own": F.expr(_NO_FIXES), "asked": F.expr("CAST(array() AS array<string>)")})
+    rounds = []
+    while True:
+        asking = write_through(state.withColumn("new", _asked_column("pages", "text", "own", "asked")), "asked-keys")
+        given = asking.select("pages", "text_no", F.explode("new").alias("ask")).join(found, "ask").groupBy("pages", "text_no").agg(F.collect_list("fix").alias("given"))
+        more = asking.join(given, ["pages", "text_no"]).select("pages", "text_no", "text", F.concat("own", "given").alias("own"), F.concat("asked", "new").alias("asked"))
+        state = write_through(more, "asking-texts")
+        if state.isEmpty():
+            break
+        rounds.append(state.select("pages", "text_no", "own", F.lit(len(rounds)).alias("round")))
+    if not rounds:
+        return state.select("pages", "text_no", "own")
+    return functools.reduce(DataFrame.unionByName, rounds).groupBy("pages", "text_no").agg(F.max_by("own", "round").alias("own"))
+
+
 def _repair_own_column(shared, paragraphs: bool):
     @F.pandas_udf(REPAIR_TYPE)
     def column(field: pd.Series, text: pd.Series, own: pd.Series) -> pd.DataFrame:
@@ -695,15 +755,11 @@ def repaired(texts: DataFrame, paragraphs: bool = True, max_fixes: int = MAX_FIX
     if fixes.count() <= max_fixes:
         shared = spark.sparkContext.broadcast(_as_fixes(((r.kind, r.key, r.value) for r in fixes.toLocalIterator()), model))
         return texts.withColumn("scan", _repair_column(shared, paragraphs)("field", "text"))
-    # more corrections than may be broadcast: each text gets those of its own words and lines
+    # more corrections than may be broadcast: each text gets those that its repair looks up
     shared = spark.sparkContext.broadcast(model)
-    words = F.array_distinct(F.transform(F.split(F.lower("text"), _SEPARATORS), lambda w: F.struct(F.lit("word").alias("kind"), F.regexp_replace(w, r"^[-'’|]+|[-'’|]+$", "").alias("key"))))
-    lines = F.array_distinct(F.transform(F.split(F.regexp_replace("text", "\r", ""), "\n"), lambda w: F.struct(F.lit("line").alias("kind"), F.regexp_replace(F.lower(F.trim(w)), _JAVA_MASK, "#").alias("key"))))
-    breaks = F.transform(F.expr(rf"regexp_extract_all(text, r'{_JAVA_BREAK}', 0)".replace("'’", "’")), lambda w: F.struct(F.lit("hyphen").alias("kind"), F.lower(F.regexp_replace(w, r"-\s+", "-")).alias("key")))
-    once = texts.dropDuplicates(["field", "record_key", "text"]).withColumn("text_no", F.xxhash64("field", "record_key", "text"))
-    own = once.select("field", "record_key", "text_no", F.explode(F.concat(words, lines, breaks)).alias("u")).select("field", "record_key", "text_no", "u.kind", "u.key").join(fixes, ["kind", "key"]).groupBy("field", "record_key", "text_no").agg(F.collect_set(F.struct("kind", "key", "value")).alias("own"))
-    given = once.join(own, ["field", "record_key", "text_no"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<kind:string,key:string,value:string>>")))
-    return given.withColumn("scan", _repair_own_column(shared, paragraphs)("field", "text", "own")).drop("own", "text_no")
+    keyed = texts.withColumns({"pages": F.col("field").eqNullSafe("markdown"), "text_no": F.md5("text")})
+    given = keyed.join(_own_fixes(keyed, fixes), ["pages", "text_no"], "left").withColumn("own", F.coalesce("own", F.expr(_NO_FIXES)))
+    return given.withColumn("scan", _repair_own_column(shared, paragraphs)("field", "text", "own")).drop("own", "text_no", "pages")
 
 
 def noisy_texts(texts: DataFrame) -> DataFrame:
