@@ -546,7 +546,7 @@ class Fixes:
 
 
 _MAYBE_NUMBER = re.compile(r"[lIOoS][.,]?\d|\d[.,]?[lIOoS]")
-_ENDS_BROKEN = re.compile(r"[^\W\d_]-[ \t]{0,3}$")
+_ENDS_BROKEN = re.compile(r"[^\W\d_]-[ \t]*$")
 
 
 def repair(text: str, fixes: Fixes, paragraphs: bool = True) -> tuple[str, int, int, int]:
@@ -569,7 +569,7 @@ def repair(text: str, fixes: Fixes, paragraphs: bool = True) -> tuple[str, int,
     out: list[str] = []
     while i < len(kept):
         line = kept[i]
-        while "-" in line[-4:] and _ENDS_BROKEN.search(line):
+        while (bare := line.rstrip(" \t")).endswith("-") and _ENDS_BROKEN.search(bare[-2:]):
             j = i + 1
             while j < len(kept) and not kept[j].strip() and removed:  # a page may end within the word
                 j += 1
