@@ -7,8 +7,8 @@ misread characters, and running headers and page number lines.
   before they are shuffled.
 * Misread words: correction candidates are retrieved by an inverted join on character q-grams of the
   words' shapes (a shape writes characters that scanners confuse alike); gradient-boosted ranking on
-  edit, frequency and spelling features chooses the replacement; the exact check that the shapes are
-  equal follows.  The model is fitted here on words of the vocabulary misread on purpose.
+  edit, frequency and spelling features chooses the replacement among those of an equal shape (a 6 is
+  read as b and as g).  The model is fitted here on words of the vocabulary misread on purpose.
 * Line pairs: one boosted classifier decides whether a hyphen at a line end is dropped, one whether a
   short line is page furniture, from how its masked form occurs between other lines anywhere in the
   corpus, and one whether two lines are one paragraph.
@@ -30,6 +30,7 @@ Defined results for odd input:
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import random
 import re
@@ -101,15 +102,29 @@ _STROKES = {
 }
 
 
+#: Further strokes of characters that scanners put for letters of unlike strokes: 6 is b or g.
+_OTHER_STROKES = {"6": ("g",)}
+
+
 @functools.lru_cache(1 << 18)
-def shape(word: str) -> str:
-    """The word in strokes, without accents."""
+def shapes(word: str) -> tuple[str, ...]:
+    """The word in strokes, without accents, in every way that its characters may be written."""
     parts = unicodedata.normalize("NFD", word.lower())
-    return "".join(_STROKES.get(c, c) for c in parts if not unicodedata.combining(c)).replace("lo", "ll")
+    ways = [(_STROKES.get(c, c), *_OTHER_STROKES.get(c, ())) for c in parts if not unicodedata.combining(c)]
+    return tuple(dict.fromkeys("".join(w).replace("lo", "ll") for w in itertools.product(*ways)))
+
+
+def shape(word: str) -> str:
+    """The likeliest shape; words of letters only have no other."""
+    return shapes(word)[0]
 
 
 def grams(word: str, q: int = 3) -> list[str]:
-    s = f"^{shape(word)}$"
+    return _grams_of(shape(word), q)
+
+
+def _grams_of(strokes: str, q: int = 3) -> list[str]:
+    s = f"^{strokes}$"
     return sorted({s[i : i + q] for i in range(max(1, len(s) - q + 1))})
 
 
@@ -143,7 +158,7 @@ def pair_features(word: str, n: float, other: str, m: float, overlap: float) ->
     odd = sum(not (c.isalpha() or c in "-'’") for c in word)
     return [
         math.log(m / n),
-        float(shape(word) == shape(other)),
+        float(shape(other) in shapes(word)),
         overlap,
         float(odd),
         _plausible(word),
@@ -157,7 +172,7 @@ def pair_features(word: str, n: float, other: str, m: float, overlap: float) ->
     ]
 
 
-_MISREAD = [("m", "rn"), ("n", "ri"), ("d", "cl"), ("h", "li"), ("h", "b"), ("u", "ii"), ("u", "v"), ("w", "vv"), ("e", "c"), ("b", "6"), ("b", "h"), ("b", "lo"), ("g", "9"), ("g", "q"), ("o", "0"), ("o", "°"), ("l", "1"), ("i", "1"), ("i", "!"), ("i", "l"), ("l", "|"), ("l", "i"), ("s", "5"), ("t", "7"), ("t", "+"), ("t", "f"), ("f", "t"), ("a", "@"), ("c", "¢"), ("z", "2"), ("í", "i"), ("í", "l"), ("ì", "l"), ("à", "@"), ("c", "e"), ("v", "u"), ("q", "g")]
+_MISREAD = [("m", "rn"), ("n", "ri"), ("d", "cl"), ("h", "li"), ("h", "b"), ("u", "ii"), ("u", "v"), ("w", "vv"), ("e", "c"), ("b", "6"), ("b", "h"), ("b", "lo"), ("g", "9"), ("g", "q"), ("g", "6"), ("o", "0"), ("o", "°"), ("l", "1"), ("i", "1"), ("i", "!"), ("i", "l"), ("l", "|"), ("l", "i"), ("s", "5"), ("t", "7"), ("t", "+"), ("t", "f"), ("f", "t"), ("a", "@"), ("c", "¢"), ("z", "2"), ("í", "i"), ("í", "l"), ("ì", "l"), ("à", "@"), ("c", "e"), ("v", "u"), ("q", "g")]
 
 
 def misread(word: str, rng: random.Random) -> str:
@@ -181,9 +196,12 @@ def fit_ranker(words: list[tuple[str, int]], seed: int = 3) -> GradientBoosting:
             index[g].append(w)
 
     def candidates(word: str, n: float) -> list[tuple[str, float]]:
-        own = grams(word)
-        shared = Counter(c for g in own for c in index.get(g, ()))
-        return [(c, k / max(len(own), len(grams(c)))) for c, k in shared.items() if c != word and counts[c] >= 3 * n and 2 * k >= max(len(own), len(grams(c)))]
+        overlaps: dict[str, float] = {}
+        for own in map(_grams_of, shapes(word)):
+            for c, k in Counter(c for g in own for c in index.get(g, ())).items():
+                if c != word and counts[c] >= 3 * n and 2 * k >= max(len(own), len(grams(c))):
+                    overlaps[c] = max(overlaps.get(c, 0.0), k / max(len(own), len(grams(c))))
+        return list(overlaps.items())
 
     x, y = [], []
     for w, n in words:
@@ -302,12 +320,14 @@ def vocabulary(facts: DataFrame) -> DataFrame:
     return words.groupBy(plain.alias("word")).agg(F.sum("n").alias("n")).where(F.col("word").rlike(_JAVA_WORD) & (letters >= 2) & (letters > F.length(F.regexp_replace("word", r"[^0-9]", ""))))
 
 
-_GRAMS = T.StructType([T.StructField("grams", T.ArrayType(T.StringType())), T.StructField("shape", T.StringType())])
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _shapes_column(word: pd.Series) -> pd.Series:
+    return pd.Series([list(shapes(w)) for w in word], dtype="object")
 
 
-@F.pandas_udf(_GRAMS)
-def _grams_column(word: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"grams": [grams(w) for w in word], "shape": [shape(w) for w in word]})
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _grams_column(strokes: pd.Series) -> pd.Series:
+    return pd.Series([_grams_of(s) for s in strokes], dtype="object")
 
 
 @F.pandas_udf(T.BooleanType())
@@ -340,16 +360,18 @@ def word_fixes(vocab: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame:
     letters = F.col("word").rlike(r"^[\p{L}'’-]+$")
     sure = bounded_rows(vocab.where(letters & (F.col("n") >= max(3.0, SURE_SHARE * total))).orderBy(F.desc("n"), "word").limit(SAMPLE_WORDS), "sure-words").collect()
     shared = spark.sparkContext.broadcast(fit_ranker([(r.word, r.n) for r in sure]))
-    shaped = vocab.withColumn("g", _grams_column("word")).select("word", "n", F.col("g.grams").alias("grams"), F.col("g.shape").alias("shape"))
-    one = shaped.select("word", "n", F.size("grams").alias("k"), F.explode("grams").alias("gram"))
+    shaped = vocab.select("word", "n", F.explode(_shapes_column("word")).alias("shape")).withColumn("grams", _grams_column("shape"))
+    one = shaped.select("word", "n", "shape", F.size("grams").alias("k"), F.explode("grams").alias("gram"))
     # only a word that is rarer by least_ratio than another can be its misreading
-    queries, lexicon = one, one.where(F.col("word").rlike(r"^[\p{L}'’-]+$") & (F.col("n") >= least_ratio)).select(F.col("word").alias("other"), F.col("n").alias("m"), F.col("k").alias("j"), "gram")
+    queries, lexicon = one, one.where(F.col("word").rlike(r"^[\p{L}'’-]+$") & (F.col("n") >= least_ratio)).select(F.col("word").alias("other"), F.col("n").alias("m"), F.col("shape").alias("other_shape"), F.col("k").alias("j"), "gram")
     near = (
         queries.join(lexicon, "gram")
         .where((F.col("m") >= least_ratio * F.col("n")) & (F.abs(F.col("k") - F.col("j")) <= 1))
-        .groupBy("word", "n", "other", "m", "k", "j")
+        .groupBy("word", "n", "shape", "other", "m", "other_shape", "k", "j")
         .agg((F.count(F.lit(1)) / F.greatest(F.max("k"), F.max("j"))).alias("overlap"))
-        .where("overlap >= 0.6")
+        # exact checks, before the best is chosen: a shape is equal, and no accented letter comes or goes
+        .where("overlap >= 0.6 AND shape = other_shape")
+        .where(_keeps_accents("word", "other"))
     )
     ranked = near.withColumn("p", _rank_column(shared)(F.col("word"), F.col("n").cast("double"), F.col("other"), F.col("m").cast("double"), F.col("overlap")))
     best = ranked.where("p >= 0.5").groupBy("word").agg(F.max_by(F.struct("other", "n", "m"), F.struct("p", "m", "other")).alias("top"))
@@ -360,9 +382,7 @@ def word_fixes(vocab: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame:
     rate = surely.n / surely.m if surely.n else DEFAULT_RATE
     own_word = F.col("word").rlike(r"^[a-z'’-]+$") | _is_syllable("word")
     best = best.where(~own_word | (F.col("top.n") <= 4 * rate * F.col("top.m") + 3))
-    # an exact check: the shapes are equal, and the correction neither takes nor adds accented letters
-    same_shape = _grams_column("word")["shape"] == _grams_column(F.col("top.other"))["shape"]
-    return best.where(same_shape & _keeps_accents("word", F.col("top.other"))).select(F.col("word").alias("key"), F.col("top.other").alias("value"))
+    return best.select(F.col("word").alias("key"), F.col("top.other").alias("value"))
 
 
 # ---------------------------------------------------------------- hyphens at line ends
