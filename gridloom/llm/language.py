@@ -3,8 +3,10 @@
 Nearest-centroid classification: a sentence is a normalised TF-IDF vector of hashed character
 n-grams and gets the language of the most similar of several clustered centroids per language, by
 cosine; a sentence too far from all of them is rejected (``und``).  The centroids are fitted on a
-bounded sample of labelled documents (``SAMPLE_PER_LANGUAGE``), in rounds that drop sentences whose
-label another language's centroids contradict, so that wrong labels do no harm.  Vietnamese typed
+bounded sample of labelled documents (``SAMPLE_PER_LANGUAGE``) and of their distinct complete
+sentences (``SENTENCES_PER_LANGUAGE``, taken at even steps), in rounds that drop sentences whose
+label another language's centroids contradict, so that wrong labels do no harm.  The weights of the
+n-grams are counted over every sentence of every document.  Vietnamese typed
 without accents has centroids of its own.  Classification covers every sentence of every document.
 
 Defined results for odd input:
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -44,6 +47,8 @@ LABELS = {
 UNKNOWN_LABELS = ("", "unknown", "und", "unk", "none", "null", "n/a", "na", "nan", "?", "-", "--", "other", "xx", "mul", "mis", "zxx", "undetermined", "undefined", "không rõ", "khong ro", "không xác định", "chưa rõ", "inconnu", "unbekannt")
 #: Labelled documents per language from which the centroids are fitted.
 SAMPLE_PER_LANGUAGE = 150
+#: Distinct complete sentences of them per language; Vietnamese ones count once more without accents.
+SENTENCES_PER_LANGUAGE = 350
 CLUSTERS = 3
 DIMENSIONS = 1 << 14
 #: A sentence whose best cosine is below is rejected.
@@ -162,11 +167,15 @@ class Centroids:
         return best
 
 
+def _weights(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log((1 + n) / (1 + df)).astype(np.float32) + 0.1
+
+
 def _dense(texts: list[str], idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     number, term, count = _terms(texts)
     if idf is None:
         df = np.bincount(term, minlength=DIMENSIONS)
-        idf = np.log((1 + len(texts)) / (1 + df)).astype(np.float32) + 0.1
+        idf = _weights(df, len(texts))
     rows = np.zeros((len(texts), DIMENSIONS), np.float32)
     rows[number, term] = (1 + np.log(count)) * idf[term]
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9), idf
@@ -185,8 +194,11 @@ def _clusters(rows: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return centres
 
 
-def fit_centroids(sample: pd.DataFrame, clusters: int = CLUSTERS, rounds: int = 3, per_language: int = 350) -> Centroids:
-    """Fit on a sample with the columns text and lang (one of ``LANGUAGES``)."""
+def fit_centroids(sample: pd.DataFrame, clusters: int = CLUSTERS, rounds: int = 3, per_language: int = SENTENCES_PER_LANGUAGE, idf: np.ndarray | None = None) -> Centroids:
+    """Fit on at most ``per_language`` sentences of a sample with the columns text and lang (one of ``LANGUAGES``).
+
+    ``idf`` has the weights of the n-grams (``term_weights``); without it they are those of the sample.
+    """
     texts: list[str] = []
     labels: list[int] = []
     group: list[int] = []
@@ -203,7 +215,7 @@ def fit_centroids(sample: pd.DataFrame, clusters: int = CLUSTERS, rounds: int =
             group += [2 * k + 1] * len(own)
     if not texts:
         return Centroids(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64))
-    rows, idf = _dense(texts)
+    rows, idf = _dense(texts, idf)
     label, part = np.array(labels), np.array(group)
     keep = np.ones(len(texts), bool)
     for n in range(rounds):
@@ -225,6 +237,38 @@ def fit_centroids(sample: pd.DataFrame, clusters: int = CLUSTERS, rounds: int =
     return Centroids(idf, centres, owned)
 
 
+def _count_terms(batches):
+    """Partial counts: of the sentences that hold each n-gram, and, as term -1, of all."""
+    total, df = 0, np.zeros(DIMENSIONS, np.int64)
+    for batch in batches:
+        plain = Counter(_plain(t[a:b]) for t in batch.text for a, b in sentences(t))
+        total += plain.total()
+        texts, times = list(plain), np.fromiter(plain.values(), np.int64, len(plain))
+        start = 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= _CHUNK_CHARS):
+                size += len(texts[stop])
+                stop += 1
+            number, term, _ = _terms(texts[start:stop])
+            np.add.at(df, term, times[start:stop][number])
+            start = stop
+    held = np.flatnonzero(df)
+    yield pd.DataFrame({"term": np.r_[-1, held].astype(np.int32), "n": np.r_[total, df[held]]})
+
+
+def term_weights(documents: DataFrame) -> np.ndarray:
+    """Weight of each n-gram by its share of all sentences of all documents."""
+    counted = documents.where("text IS NOT NULL").select("text").mapInPandas(_count_terms, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    df, total = np.zeros(DIMENSIONS, np.int64), 0
+    for r in counted.collect():  # at most DIMENSIONS + 1 rows
+        if r.term < 0:
+            total = r.n
+        else:
+            df[r.term] = r.n
+    return _weights(df, total)
+
+
 def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> pd.DataFrame:
     """At most ``per_language`` labelled documents of each language, chosen by a hash of the id."""
     labelled = documents.where("text IS NOT NULL").select("doc_id", label_language(F.col("lang")).alias("lang")).where(F.col("lang").isin(*LANGUAGES))
@@ -290,7 +334,7 @@ def segment_texts(texts: list[str | None], model: Centroids, least_cosine: float
 
 def language_segments(documents: DataFrame, model: Centroids | None = None, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """All documents with ``segments`` and ``named``, the language that their label names."""
-    shared = documents.sparkSession.sparkContext.broadcast(model or fit_centroids(training_sample(documents, per_language)))
+    shared = documents.sparkSession.sparkContext.broadcast(model or fit_centroids(training_sample(documents, per_language), idf=term_weights(documents)))
 
     @F.pandas_udf(SEGMENTS_TYPE)
     def segments(text: pd.Series) -> pd.Series:

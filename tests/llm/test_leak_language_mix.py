@@ -163,3 +163,14 @@ def test_mix(spark):
     assert shares["p", "gone"].tokens == 0 and shares["q", "small"].most_copies == 3
     assert np.isclose(sum(r.reached_share for k, r in shares.items() if k[0] == "p"), 1)
     assert mix.mix(docs.limit(0), targets)[0].count() == 0 and mix.mix(docs, targets.limit(0))[0].count() == 0
+
+
+def test_term_weights_count_all_documents(spark):
+    texts = [" ".join(SAMPLE["vi"]), " ".join(SAMPLE["en"]), " ".join(SAMPLE["en"]), None, ""]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    every = [language._plain(t[a:b]) for t in texts if t for a, b in language.sentences(t)]
+    df = np.bincount(language._terms(every)[1], minlength=language.DIMENSIONS)
+    idf = language.term_weights(documents)
+    assert np.allclose(idf, np.log((1 + len(every)) / (1 + df)) + 0.1)
+    sample = pd.DataFrame([(" ".join(SAMPLE["vi"]), "vi")], columns=["text", "lang"])
+    assert np.array_equal(language.fit_centroids(sample, idf=idf).idf, idf)
