@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -107,6 +108,78 @@ def test_sentences():
     assert language.is_complete("Câu hai nối dòng.") and not language.is_complete("Tiêu đề ngắn") and not language.is_complete("nối dòng tiếp theo đây.")
 
 
+_END = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*|[。！？]+[」』）]*)$")
+
+
+def plain_sentences(text):
+    """Places and completeness of the sentences, by patterns."""
+    out = []
+    for block in re.finditer(r"[^\n\r]+(?:\r?\n(?!\s*[\r\n]|\s*(?:\d+[.)]|[-*•|#])\s)[^\n\r]+)*", text):
+        at = block.start()
+        for m in re.finditer(r"(?:[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』）]*)", block.group()):
+            if not re.fullmatch(r"\s*\d{1,3}", text[at : block.start() + m.start()]):
+                out.append((at, block.start() + m.end()))
+                at = block.start() + m.end()
+        if text[at : block.end()].strip():
+            out.append((at, block.end()))
+
+    def complete(s):
+        first = next((c for c in s if c.isalnum()), "")
+        enough = len(s.split(None, 4)) >= 4 or len(re.findall("[\u3040-\u9fff]", s)) >= 6
+        return "|" not in s and bool(_END.search(s)) and not first.islower() and enough
+
+    return [(a, b, complete(text[a:b])) for a, b in out]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_sentences_against_patterns(seed):
+    rng = random.Random(seed)
+    parts = ["Câu", "hai", "B", "12", "3", "1.", "4)", "-", "#", "|", "•", ".", "!", "…", "?", "。", "！", "」", ")", "”", "漢字", "かな", " ", " ", "\n", "\r\n", "\r", "\n\n", "\t", "\u3000", "😀", "ß", ","]
+    for _ in range(60):
+        text = "".join(rng.choice(parts) + (" " if rng.random() < 0.4 else "") for _ in range(rng.randint(0, 40))) + "x"
+        start, stop, complete = language.split_sentences(language._codes(text + "\n"))
+        assert list(zip(start.tolist(), stop.tolist(), complete.tolist(), strict=True)) == plain_sentences(text)
+
+
+def test_vectors_against_plain_counts():
+    texts = ["Bê tông, bê TÔNG 12 a😀b", "", "漢字かな交じり文", " ", "l'eau", "é" + "e\u0301"]
+    number, term, count = language._terms(texts)
+    for k, t in enumerate(texts):
+        want: dict[str, int] = {}
+        for w in language._plain(t).split():
+            padded = f" {w} "
+            threes = [padded[i : i + 3] for i in range(len(padded) - 2) if max(padded[i : i + 2]) < "\u2e80"]
+            for g in [*(c for c in w if c >= "\u2e80"), *(padded[i : i + 2] for i in range(len(padded) - 1)), *threes]:
+                want[g] = want.get(g, 0) + 1
+        # equal but for n-grams that share a number
+        assert count[number == k].sum() == sum(want.values()) and abs(len(want) - (number == k).sum()) <= 1
+    assert len(set(term[number == 0]) & set(term[number == 2])) == 0
+
+
+FOREIGN = [
+    "El contratista principal terminó el hormigón de limpieza en la entrada.", "Debido a la lluvia, los trabajos se detuvieron durante varias horas.", "Las muestras fueron aprobadas con condiciones por el laboratorio.",
+    "De hoofdaannemer heeft het werkvloerbeton bij de poort voltooid.", "Vraag de leverancier om voor het einde van de maand schriftelijk te antwoorden.", "Het bedrijf leverde twaalf ton grind naast de brug.",
+    "Główny wykonawca zakończył betonowanie przy bramie wjazdowej.", "Z powodu deszczu prace przy rurach zostały wstrzymane na kilka godzin.", "Firma dostarczyła dwanaście ton żwiru obok mostu.",
+    "Si prega di chiedere al fornitore di rispondere per iscritto entro la fine del mese.", "A causa della pioggia i lavori sulle tubazioni sono rimasti fermi per alcune ore.", "La ditta ha consegnato dodici tonnellate di ghiaia accanto al ponte.",
+    "O empreiteiro principal concluiu o betão de limpeza junto ao portão.", "Генеральный подрядчик завершил бетонные работы у ворот.", "주계약자는 정문에서 콘크리트 작업을 완료했습니다.",
+]
+
+
+def test_rejection(spark, data):
+    docs = spark.read.parquet(f"{data}/../sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    fitted = language.fit_centroids(language.training_sample(docs), idf=language.term_weights(docs))
+    cosines = fitted.cosines(FOREIGN)
+    assert np.mean(cosines.max(1) < fitted.least[cosines.argmax(1)]) > 0.9
+    texts = [r.text for r in docs.where("text IS NOT NULL").collect()]
+    own = fitted.cosines([s for t in texts for s in language.complete_sentences(t)])
+    assert np.mean(own.max(1) < fitted.least[own.argmax(1)]) < 0.01
+    vi = " ".join(language.complete_sentences(max(texts, key=lambda t: sum(c in "ạảấầậ" for c in t)))[:3])
+    spanish = " ".join(FOREIGN[:3])
+    got = language.segment_texts([f"{vi}\n\n{spanish}\n\n{vi}", spanish, f"{vi} {FOREIGN[6]} {vi}"], fitted)
+    assert [s["lang"] for s in got[0]] == ["vi", "und", "vi"] and [s["lang"] for s in got[1]] == ["und"] and [s["lang"] for s in got[2]] == ["vi"]
+    assert got[0][1]["sentences"] == 3 and got[0][1]["confidence"] == 0 and got[2][0]["sentences"] == 6
+
+
 def test_labels(spark):
     labels = {"vi": "vi", "VI": "vi", "vi-VN": "vi", "vie": "vi", "Vietnamese": "vi", " English ": "en", "eng": "en", "fr-FR": "fr", "de-DE": "de", "jpn": "ja", "zh-CN": "zh", "es": "es", "": None, "unknown": None, "und": None, None: None}
     df = spark.createDataFrame([(k,) for k in labels], "l string").withColumn("c", language.label_language(F.col("l")))
