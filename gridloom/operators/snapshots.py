@@ -1,9 +1,11 @@
 """Changes between consecutive full snapshots (problem 5).
 
-A feed delivers a whole table again and again.  :class:`SnapshotIndex` keeps, of the last
-snapshot of each project, a table bucketed by record key that maps key to value hash.  A new
-snapshot is bucketed the same way, probed against that index without moving the index again,
-old values are fetched only for keys whose hash changed, and the new table becomes the index.
+A feed delivers a whole table again and again.  :class:`SnapshotIndex` writes the entries of all
+snapshots in one pass, each row once into the bucket of its key, with the hash of its value: one
+sorted file for each bucket and snapshot.  Then, snapshot by snapshot, the new rows are probed
+against the key-to-hash index of each project's last snapshot, bucket by bucket without moving or
+sorting anything; old values are fetched for keys whose hash changed only, and the snapshot just
+probed becomes the index, by reference.
 
 Defined results for odd input:
 
@@ -16,15 +18,19 @@ Defined results for odd input:
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.session import remove_path, scratch_path, shuffle_partitions
 
 KEY = ["project_code", "id", "section_id", "table_id", "row_idx", "col_idx"]
+_NO_SEQ = -(2**63)
+#: Lets a bucket of one file pass for sorted.
+_SORTED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 DELTA_SCHEMA = T.StructType(
     [
         T.StructField("snapshot_no", T.IntegerType()),
@@ -43,82 +49,74 @@ def section_entries(summary_snapshots: DataFrame) -> DataFrame:
     held = (
         summary_snapshots.where("id IS NOT NULL AND project_code IS NOT NULL AND snapshot_no IS NOT NULL")
         .groupBy("snapshot_no", "project_code", "id")
-        .agg(F.max_by("section_ids", F.struct(F.coalesce("seq", F.lit(-(2**63))), F.col("section_ids"))).alias("section_ids"))
+        .agg(F.max_by("section_ids", F.struct(F.coalesce("seq", F.lit(_NO_SEQ)), F.col("section_ids"))).alias("section_ids"))
     )
     return held.select("snapshot_no", "project_code", "id", F.explode(F.array_distinct("section_ids")).alias("section_id")).where("section_id IS NOT NULL").select(
-        "snapshot_no",
+        F.col("snapshot_no").cast("int").alias("snapshot_no"),
         "project_code",
         "id",
-        "section_id",
+        F.col("section_id").cast("long").alias("section_id"),
         F.lit(0).cast("long").alias("table_id"),
         F.lit(0).alias("row_idx"),
         F.lit(0).alias("col_idx"),
+        F.lit(_NO_SEQ).alias("seq"),
         F.lit(0.0).alias("value"),
     )
 
 
 def cell_entries(numeric_index: DataFrame) -> DataFrame:
-    """One row per (snapshot, project, cell key) with the value of the highest ``seq``."""
-    whole = numeric_index.where(" AND ".join(f"{c} IS NOT NULL" for c in ["snapshot_no", "project_code", "section_id", "table_id", "row_idx", "col_idx", "numeric_value"]))
-    return (
-        whole.groupBy("snapshot_no", "project_code", F.lit("").alias("id"), F.col("section_id").cast("long").alias("section_id"), F.col("table_id").cast("long").alias("table_id"), F.col("row_idx").cast("int").alias("row_idx"), F.col("col_idx").cast("int").alias("col_idx"))
-        # the value breaks ties of seq, so that a run can be repeated with the same result
-        .agg(F.max(F.struct(F.coalesce("seq", F.lit(-(2**63))).alias("seq"), F.col("numeric_value").cast("double").alias("value"))).alias("held"))
-        .select("snapshot_no", "project_code", "id", "section_id", "table_id", "row_idx", "col_idx", F.col("held.value").alias("value"))
-    )
+    """Cells with a whole key and a value, repeated and superseded ones included."""
+    types = {"snapshot_no": "int", "project_code": "string", "id": "string", "section_id": "long", "table_id": "long", "row_idx": "int", "col_idx": "int"}
+    whole = numeric_index.where(" AND ".join(f"{c} IS NOT NULL" for c in [*types, "numeric_value"] if c != "id"))
+    return whole.select(*((F.lit("") if c == "id" else F.col(c).cast(t)).alias(c) for c, t in types.items()), F.coalesce("seq", F.lit(_NO_SEQ)).alias("seq"), F.col("numeric_value").cast("double").alias("value"))
 
 
 class SnapshotIndex:
-    """The bucketed key-to-hash index of the last snapshot of each project.
+    """The entries of all snapshots in buckets, and the deltas of one against the index before it.
 
-    ``buckets`` should equal the shuffle partitions of the session (the default): the rows of a
-    new snapshot then move once, straight into their buckets, and the probe moves nothing.
+    ``buckets`` is the number of shuffle partitions of the session by default.
     """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, epsilon: float = 1.0):
-        self.spark = spark
+        self.spark, self.epsilon = spark, epsilon
         self.buckets = buckets or shuffle_partitions(spark)
-        self.epsilon = epsilon
-        self.table: str | None = None
-        self.path: str | None = None
-        self.seen: DataFrame | None = None
-
-    def _write(self, entries: DataFrame) -> tuple[str, str]:
-        name, path = f"gridloom_index_{uuid.uuid4().hex}", scratch_path(self.spark, "snapshot-index")
-        entries.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).format("parquet").saveAsTable(name)
-        return name, path
-
-    def _drop(self, table: str, path: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        remove_path(self.spark, path)
+        self.table, self.path = f"gridloom_index_{uuid.uuid4().hex}", scratch_path(spark, "snapshot-index")
 
-    def advance(self, snapshot_no: int, entries: DataFrame, projects: DataFrame, out: str) -> None:
-        """Probe with the entries of one snapshot, append the deltas to ``out``, swap the index.
+    def load(self, entries: DataFrame, delivered: DataFrame) -> None:
+        """Write all entries: each moves once, into its bucket.
 
-        ``entries`` has the columns KEY and value; ``projects`` (project_code, returning) has the
-        projects that delivered this snapshot and whether they delivered one before.
+        ``delivered`` (snapshot_no, project_code, previous_no, next_no) has the deliveries of each
+        project with the one before and the one after.
         """
-        rows = entries.join(projects, "project_code").select(*KEY, "value", F.xxhash64("value").alias("value_hash"), F.lit(snapshot_no).alias("as_of"))
-        if self.table is not None:
-            # projects that skipped this snapshot keep their entries; they stay in their buckets
-            rows = rows.unionByName(self.spark.table(self.table).join(projects, "project_code", "left_anti"))
-        table, path = self._write(rows)
-        if self.table is not None:
-            self._probe(snapshot_no, table, projects).write.mode("append").parquet(out)
-            self._drop(self.table, self.path)
-        self.table, self.path = table, path
-
-    def _probe(self, snapshot_no: int, table: str, projects: DataFrame) -> DataFrame:
-        returning = projects.where("returning").select("project_code")
-        new = self.spark.table(table).where(F.col("as_of") == snapshot_no).select(*KEY, F.col("value_hash").alias("new_hash"), F.col("value").alias("new_value"))
-        old = self.spark.table(self.table).select(*KEY, F.col("value_hash").alias("old_hash"))
-        hits = old.join(new, KEY, "full_outer").where("old_hash IS NULL OR new_hash IS NULL OR old_hash <> new_hash").join(returning, "project_code", "left_semi")
-        one_sided = hits.where("old_hash IS NULL OR new_hash IS NULL").withColumn("delta_type", F.when(F.col("old_hash").isNull(), "Added").otherwise("Removed")).withColumn("old_value", F.lit(None).cast("double"))
-        values = self.spark.table(self.table).select(*KEY, F.col("value").alias("old_value"))
+        rows = entries.join(delivered, ["snapshot_no", "project_code"]).repartition(self.buckets, *KEY)
+        # the rows of a key are together already; the value breaks ties of seq
+        held = rows.groupBy("snapshot_no", "previous_no", "next_no", *KEY).agg(F.max(F.struct("seq", "value")).alias("held"))
+        store = held.select(*KEY, "previous_no", "next_no", F.col("held.value").alias("value"), F.xxhash64("held.value").alias("value_hash"), "snapshot_no")
+        store.write.partitionBy("snapshot_no").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", self.path).format("parquet").saveAsTable(self.table)
+
+    def probe(self, snapshot_no: int, before: list[int]) -> DataFrame:
+        """Keys of a snapshot that are new, gone or of another hash; ``before`` are the snapshots that the index is of."""
+        store = self.spark.table(self.table)
+        new = store.where((F.col("snapshot_no") == snapshot_no) & F.col("previous_no").isNotNull()).select(*KEY, F.col("value_hash").alias("new_hash"), F.col("value").alias("new_value"))
+        old = self._index(snapshot_no, before).select(*KEY, F.col("value_hash").alias("old_hash"))
+        return old.join(new, KEY, "full_outer").where("old_hash IS NULL OR new_hash IS NULL OR old_hash <> new_hash")
+
+    def _index(self, snapshot_no: int, before: list[int]) -> DataFrame:
+        return self.spark.table(self.table).where(F.col("snapshot_no").isin(*before) & (F.col("next_no") == snapshot_no))
+
+    def advance(self, snapshot_no: int, before: list[int], out: str) -> None:
+        """Append the deltas of one snapshot to ``out``."""
+        path = scratch_path(self.spark, "snapshot-hits")
+        with _setting(self.spark, _SORTED_BUCKETS, "true"):
+            self.probe(snapshot_no, before).write.parquet(path)
+        hits = self.spark.read.parquet(path)
+        none = F.lit(None).cast("double")
+        one_sided = hits.where("old_hash IS NULL OR new_hash IS NULL").withColumns({"delta_type": F.when(F.col("old_hash").isNull(), "Added").otherwise("Removed"), "old_value": none})
+        values = self._index(snapshot_no, before).select(*KEY, F.col("value").alias("old_value"))
         gap = F.abs(F.col("new_value") - F.col("old_value"))
         changed = hits.where("old_hash <> new_hash").join(values, KEY).where((gap >= self.epsilon) & ~F.isnan(gap)).withColumn("delta_type", F.lit("ValueMismatch"))
         is_section = F.col("id") != ""
-        return one_sided.unionByName(changed).select(
+        deltas = one_sided.unionByName(changed).select(
             F.lit(snapshot_no).alias("snapshot_no"),
             "project_code",
             F.when(is_section, "section").otherwise("cell").alias("record_kind"),
@@ -127,11 +125,22 @@ class SnapshotIndex:
             F.when(is_section, None).otherwise(F.col("old_value")).alias("old_value"),
             F.when(is_section, None).otherwise(F.col("new_value")).alias("new_value"),
         )
+        deltas.write.mode("append").parquet(out)
+        remove_path(self.spark, path)
 
     def close(self) -> None:
-        if self.table is not None:
-            self._drop(self.table, self.path)
-            self.table = None
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove_path(self.spark, self.path)
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def snapshot_deltas(summary_snapshots: DataFrame, numeric_index: DataFrame, epsilon: float = 1.0, buckets: int | None = None) -> DataFrame:
@@ -141,17 +150,21 @@ def snapshot_deltas(summary_snapshots: DataFrame, numeric_index: DataFrame, epsi
     over snapshot numbers (a handful of integers), each step over all rows of that snapshot.
     """
     spark = summary_snapshots.sparkSession
-    delivered = summary_snapshots.where("project_code IS NOT NULL AND snapshot_no IS NOT NULL").select(F.col("snapshot_no").cast("int").alias("snapshot_no"), "project_code").distinct()
-    first = delivered.groupBy("project_code").agg(F.min("snapshot_no").alias("first_no"))
+    once = summary_snapshots.where("project_code IS NOT NULL AND snapshot_no IS NOT NULL").select(F.col("snapshot_no").cast("int").alias("snapshot_no"), "project_code").distinct()
+    order = Window.partitionBy("project_code").orderBy("snapshot_no")
     path = scratch_path(spark, "snapshot-projects")
-    delivered.join(first, "project_code").select("snapshot_no", "project_code", (F.col("snapshot_no") > F.col("first_no")).alias("returning")).write.parquet(path)
-    delivered = spark.read.schema("snapshot_no int, project_code string, returning boolean").parquet(path)
-    numbers = [r[0] for r in delivered.select("snapshot_no").distinct().orderBy("snapshot_no").collect()]
+    once.withColumns({"previous_no": F.lag("snapshot_no").over(order), "next_no": F.lead("snapshot_no").over(order)}).write.parquet(path)
+    delivered = spark.read.schema("snapshot_no int, project_code string, previous_no int, next_no int").parquet(path)
+    steps: dict[int, list[int]] = {}
+    for n, m in delivered.where("previous_no IS NOT NULL").select("snapshot_no", "previous_no").distinct().collect():  # pairs of snapshot numbers
+        steps.setdefault(n, []).append(m)
     out = scratch_path(spark, "snapshot-deltas")
     spark.createDataFrame([], DELTA_SCHEMA).write.parquet(out)
-    index = SnapshotIndex(spark, buckets, epsilon)
-    for n in numbers:
-        entries = section_entries(summary_snapshots.where(F.col("snapshot_no") == n)).unionByName(cell_entries(numeric_index.where(F.col("snapshot_no") == n)))
-        index.advance(n, entries.drop("snapshot_no"), delivered.where(F.col("snapshot_no") == n).select("project_code", "returning"), out)
-    index.close()
+    if steps:
+        index = SnapshotIndex(spark, buckets, epsilon)
+        index.load(section_entries(summary_snapshots).unionByName(cell_entries(numeric_index)), delivered)
+        for n in sorted(steps):
+            index.advance(n, sorted(steps[n]), out)
+        index.close()
+    remove_path(spark, path)
     return spark.read.schema(DELTA_SCHEMA).parquet(out)
