@@ -3,22 +3,28 @@
 Each number cell gets the unit that is recorded for it: written after the number, in the column's
 unit, in the column's name, or, for quantities, in the unit column of its row.  For cells without
 any, a calibrated ensemble of boosted trees predicts the unit from the magnitude, the column's kind,
-the source and the units of neighbouring columns; confident predictions are converted, the others
-are routed for review.  The model is fitted on at most ``SAMPLE_ROWS`` labelled cells.
+the source and the units of the other columns; confident predictions are converted, the others are
+routed for review.
+
+The ensemble (:class:`UnitModel`) weighs each unit of the catalog as a candidate for a cell, by what
+other tables say about it.  It is fitted on at most ``SAMPLE_ROWS`` labelled cells, at most
+``SAMPLE_OF_COLUMN`` of a column, and calibrated on cells of tables that took no part in the fit.
+Nothing that names a cell's own unit is a feature.
 
 Defined results for odd input:
 
 * a null or NaN number has a unit but no common value; an unreadable number text is no number cell;
 * counted things (``cái``, ``bộ`` and the like) have no unit and are not predicted (``counted``);
 * repeated rows of a cell or table count once; of several unit columns the first holds;
-* with fewer than two recorded units or no labelled cells nothing is predicted, all goes to review.
+* with fewer than two recorded units or no labelled cells nothing is predicted, all goes to review;
+* without a table that took no part in the fit every prediction goes to review.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,32 +34,31 @@ from gridloom.functions.unit_names import QUANTITY, UNIT_COLUMNS, name_without_u
 from gridloom.ml.boosting import GradientBoosting
 from gridloom.session import bounded_rows, write_through
 
-#: Labelled cells on which the classifier is fitted and calibrated.
-SAMPLE_ROWS = 12_000
+#: Labelled cells on which the classifier is fitted and calibrated, and cells of one column among them.
+SAMPLE_ROWS, SAMPLE_OF_COLUMN = 12_000, 4
 #: Calibrated probability from which a prediction is converted without review.
 CONFIDENT = 0.9
-FEATURES = ["magnitude", "kind", "decimals", "negative", "source", "tool", "column_place", "other_unit", "row_unit", "critical"]
+FEATURES = ["magnitude", "base", "decimals", "negative", "source", "others", "row_unit"]
 
 
 def table_columns(extracted_tables: DataFrame) -> DataFrame:
     """One row per column of a table: its folded name, recorded unit and kind."""
-    named = extracted_tables.where("table_id IS NOT NULL").select("table_id", "project_code", "tool_version", F.posexplode("columns").alias("col_pos", "c"))
+    named = extracted_tables.where("table_id IS NOT NULL").select("table_id", "project_code", F.posexplode("columns").alias("col_pos", "c"))
     folded = fold(F.col("c.name"))
     parsed = named.select(
         "table_id",
         "col_pos",
         "project_code",
-        "tool_version",
         F.coalesce(unit_of(fold(F.col("c.unit"))), F.lit(None)).alias("column_unit"),
         unit_in_name(folded).alias("name_unit"),
         name_without_unit(folded).alias("base"),
-        F.coalesce("c.is_critical", F.lit(False)).alias("critical"),
     )
     once = parsed.groupBy("table_id", "col_pos").agg(F.max(F.struct(*parsed.columns[2:])).alias("c")).select("table_id", "col_pos", "c.*")
-    # the units of the other columns of the table, as its commonest recorded money and measure unit
+    # the units of the other columns of the table; a table's columns are one row of it
     own = F.coalesce("column_unit", "name_unit")
-    other = once.where(own.isNotNull()).groupBy("table_id").agg(F.max_by(own, F.struct("col_pos")).alias("other_unit"))
-    return once.join(other, "table_id", "left").withColumns({"is_unit": F.col("base").isin(*UNIT_COLUMNS), "is_quantity": F.col("base").rlike(QUANTITY)})
+    units = once.where(own.isNotNull()).groupBy("table_id").agg(F.collect_list(F.struct("col_pos", own.alias("unit"))).alias("units"))
+    others = F.array_distinct(F.transform(F.filter("units", lambda u: u["col_pos"] != F.col("col_pos")), lambda u: u["unit"]))
+    return once.join(units, "table_id", "left").withColumns({"others": F.array_sort(others), "is_unit": F.col("base").isin(*UNIT_COLUMNS), "is_quantity": F.col("base").rlike(QUANTITY)}).drop("units")
 
 
 def number_cells(cells: DataFrame, columns: DataFrame) -> DataFrame:
@@ -94,29 +99,137 @@ def number_cells(cells: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def _features() -> list[Column]:
-    bucket = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.lit(64)).cast("double"), F.lit(-1.0))
     return [
         F.when(F.abs("value") > 0, F.log10(F.abs("value"))).alias("magnitude"),
-        bucket("base").alias("kind"),
+        F.col("base"),
         F.col("decimals"),
         F.coalesce((F.col("value") < 0).cast("double"), F.lit(0.0)).alias("negative"),
-        bucket("project_code").alias("source"),
-        bucket("tool_version").alias("tool"),
-        F.col("col_pos").cast("double").alias("column_place"),
-        bucket("other_unit").alias("other_unit"),
-        F.when(F.col("row_unit_text").isNull(), F.lit(-1.0)).otherwise(bucket(fold(F.col("row_unit_text")))).alias("row_unit"),
-        F.coalesce(F.col("critical").cast("double"), F.lit(0.0)).alias("critical"),
+        F.col("project_code").alias("source"),
+        F.col("others"),
+        # of a quantity the row's unit is its own
+        F.when(~F.coalesce("is_quantity", F.lit(False)), unit_of(fold(F.col("row_unit_text")))).alias("row_unit"),
     ]
 
 
-def fit_units(sample: pd.DataFrame) -> tuple[GradientBoosting | None, list[str]]:
-    """Fit on labelled cells (FEATURES and recorded); a fifth of them calibrates."""
-    codes = sorted(sample.recorded.unique()) if len(sample) else []
-    if len(codes) < 2:
-        return None, codes
-    x, y = sample[FEATURES].to_numpy(float), np.array([codes.index(c) for c in sample.recorded])
-    held = np.arange(len(y)) % 5 == 4
-    return GradientBoosting(trees=25, depth=4, rate=0.3).fit(x[~held], y[~held], max(len(codes), 3)).calibrate(x[held], y[held]), codes
+class _UnitCounts:
+    """What tables say about units: how often with which kind of column, source and other unit, and how large."""
+
+    def __init__(self, sample: pd.DataFrame, codes: list[str]):
+        self.k = len(codes)
+        number = {c: k for k, c in enumerate(codes)}
+        y = sample.recorded.map(number).to_numpy()
+        # each column of a table counts once, however many of its cells are in the sample
+        column = sample.assign(y=y).drop_duplicates(["table_id", "base", "y"])
+        self.all = np.bincount(column.y, minlength=self.k) + 0.5
+        self.all /= self.all.sum()
+        self.by_base = self._table(zip(column.base, column.y, strict=True))
+        self.by_source = self._table(zip(zip(column.base, column.source, strict=True), column.y, strict=True))
+        self.by_other = self._table((o, k) for others, k in zip(column.others, column.y, strict=True) for o in others)
+        size = sample.magnitude.to_numpy(float)
+        self.size: dict = {}
+        for key, at in [*sample.groupby(y).indices.items(), *sample.groupby([sample.base, y]).indices.items()]:
+            v = size[at][~np.isnan(size[at])]
+            if len(v) >= (5 if isinstance(key, tuple) else 1):
+                self.size[key] = (v.mean(), max(0.3, v.std()))
+
+    def _table(self, pairs) -> dict:
+        out: dict = {}
+        for key, k in pairs:
+            out.setdefault(key, np.zeros(self.k))[k] += 1
+        return out
+
+    def features(self, rows: pd.DataFrame, codes: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Features of each cell and candidate, and which candidates are able: units that the kind of column has."""
+        none = np.zeros(self.k)
+        others = [tuple(o) if o is not None else () for o in rows.others]
+        kinds: dict = {}
+        which = np.array([kinds.setdefault(key, len(kinds)) for key in zip(rows.base, rows.source, others, strict=True)], int)
+        likely, of_source, beside, mean, spread = (np.zeros((len(kinds), self.k)) for _ in range(5))
+        n_base, n_source = np.zeros((2, len(kinds)))
+        able = np.ones((len(kinds), self.k), bool)
+        for n, (base, source, known) in enumerate(kinds):
+            count, own = self.by_base.get(base, none), self.by_source.get((base, source), none)
+            n_base[n], n_source[n] = count.sum(), own.sum()
+            able[n] = (count > 0) | (n_base[n] == 0)
+            likely[n] = (count + 2 * self.all) / (n_base[n] + 2)
+            of_source[n] = (own + likely[n]) / (n_source[n] + 1)
+            shares = [(c + self.all) / (c.sum() + 1) for c in (self.by_other.get(o) for o in known) if c is not None]
+            beside[n] = np.mean(shares, axis=0) if shares else self.all
+            mean[n], spread[n] = np.array([self.size.get((base, j)) or self.size.get(j) or (0.0, 3.0) for j in range(self.k)]).T
+        far = (rows.magnitude.to_numpy(float)[:, None] - mean[which]) / spread[which]
+        fit = np.nan_to_num(-0.5 * far**2 - np.log(spread[which])) + np.log(likely[which])
+        fit -= np.logaddexp.reduce(fit, axis=1, keepdims=True)
+        named = np.array([np.nan if u is None else float(u == c) for u in rows.row_unit for c in codes]).reshape(len(rows), self.k)
+        wide = lambda v: np.repeat(np.asarray(v, float)[:, None], self.k, axis=1)
+        top = np.log(likely).max(1, keepdims=True) if len(kinds) else likely
+        table = [np.log(likely)[which], np.log(of_source)[which], np.log(beside)[which], np.abs(far), fit, (np.log(likely) - top)[which], wide(np.log1p(n_base)[which]), wide(np.log1p(n_source)[which]), wide(rows.decimals), wide(rows.negative), named]
+        return np.stack(table, axis=2), able[which]
+
+
+class UnitModel:
+    """Boosted trees that weigh each candidate unit of a cell, with a calibrated confidence."""
+
+    def __init__(self, codes: list[str]):
+        self.codes, self.counts, self.trees = codes, None, None
+        self.bounds, self.right = np.zeros(0), np.zeros(0)
+
+    def fit(self, sample: pd.DataFrame) -> UnitModel:
+        number = {c: k for k, c in enumerate(self.codes)}
+        # the other columns of a table may lack their units as well
+        sample = pd.concat([sample, sample.assign(others=[[] for _ in range(len(sample))])], ignore_index=True)
+        y = sample.recorded.map(number).to_numpy()
+        fold = pd.util.hash_array(sample.table_id.to_numpy(object)) % 4
+        held = fold == 3
+        x, right = [], []
+        for f in range(3):  # what is counted in the other tables says nothing of a cell's own one
+            own, others = fold == f, ~held & (fold != f)
+            if own.any() and others.any():
+                table, able = _UnitCounts(sample[others], self.codes).features(sample[own], self.codes)
+                x.append(table[able])
+                right.append((y[own][:, None] == np.arange(len(self.codes))[None, :])[able])
+        if not x:
+            return self
+        self.trees = GradientBoosting(trees=40, depth=4, rate=0.2).fit(np.concatenate(x), np.concatenate(right).astype(int))
+        self.counts = _UnitCounts(sample[~held], self.codes)
+        if held.any():
+            self._calibrate(sample[held], y[held])
+        return self
+
+    def _probability(self, rows: pd.DataFrame) -> np.ndarray:
+        table, able = self.counts.features(rows, self.codes)
+        score = np.full(able.shape, -np.inf)
+        score[able] = self.trees.decision(table[able])[:, 0]
+        e = np.exp(score - score.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
+    def _calibrate(self, rows: pd.DataFrame, y: np.ndarray) -> None:
+        """Share of right answers by probability, never falling; the cells of a column weigh one together."""
+        p = self._probability(rows)
+        best, top = p.argmax(1), p.max(1)
+        column = pd.Series(list(zip(rows.table_id, rows.base, strict=True)))
+        weight = 1 / column.map(column.value_counts()).to_numpy()
+        blocks: list[list[float]] = []  # right, weight, upper bound
+        for k in np.argsort(top, kind="stable"):
+            blocks.append([weight[k] * (best[k] == y[k]), weight[k], top[k]])
+            while len(blocks) > 1 and (blocks[-2][2] == blocks[-1][2] or blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]):
+                right, n, bound = blocks.pop()
+                blocks[-1] = [blocks[-1][0] + right, blocks[-1][1] + n, bound]
+        right, n, self.bounds = np.array(blocks).T
+        # few columns prove little: one wrong answer is added to each step
+        self.right = np.maximum.accumulate(right / (n + 1))
+
+    def predict(self, rows: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+        """The likeliest unit of each cell and the confidence in it; 0 without held-out cells."""
+        p = self._probability(rows)
+        at = np.searchsorted(self.bounds, p.max(1), "left")
+        confidence = self.right[np.minimum(at, len(self.right) - 1)] if len(self.right) else np.zeros(len(rows))
+        return [self.codes[k] for k in p.argmax(1)], confidence
+
+
+def fit_units(sample: pd.DataFrame) -> UnitModel:
+    """Fit on labelled cells (table_id, FEATURES and recorded); a quarter of the tables calibrates."""
+    model = UnitModel(sorted(sample.recorded.unique()) if len(sample) else [])
+    return model.fit(sample) if len(model.codes) >= 2 else model
 
 
 PREDICTION = T.StructType([T.StructField("unit", T.StringType()), T.StructField("confidence", T.DoubleType())])
@@ -125,17 +238,16 @@ PREDICTION = T.StructType([T.StructField("unit", T.StringType()), T.StructField(
 def _predict_column(shared):
     @F.pandas_udf(PREDICTION)
     def predict(missing: pd.Series, features: pd.DataFrame) -> pd.DataFrame:
-        model, codes = shared.value
+        model = shared.value
         out = pd.DataFrame({"unit": pd.Series([None] * len(missing), dtype=object), "confidence": np.full(len(missing), np.nan)})
         at = np.flatnonzero(missing.to_numpy(bool))
-        if model is not None and len(at):
-            p = model.probability(features.iloc[at].to_numpy(float))[:, : len(codes)]
-            best = p.argmax(1)
-            out.loc[at, "unit"] = [codes[k] for k in best]
-            out.loc[at, "confidence"] = p[np.arange(len(at)), best]
+        if model.trees is not None and len(at):
+            unit, confidence = model.predict(features.iloc[at])
+            out.loc[at, "unit"], out.loc[at, "confidence"] = unit, confidence
         return out
 
-    return predict
+    # else the optimizer copies it into filters on what it gives
+    return predict.asNondeterministic()
 
 
 def convert_units(cells: DataFrame, extracted_tables: DataFrame, unit_catalog: DataFrame, sample_rows: int = SAMPLE_ROWS, confident: float = CONFIDENT) -> DataFrame:
@@ -146,10 +258,13 @@ def convert_units(cells: DataFrame, extracted_tables: DataFrame, unit_catalog: D
     """
     # used twice, for the sample and for the prediction
     numbers = write_through(number_cells(cells, table_columns(extracted_tables)), "number-cells")
-    # a written unit says nothing about a missing one: learn from the other places
-    labelled = numbers.where("recorded IS NOT NULL").select("global_id", "recorded", *_features())
-    order = F.xxhash64(F.lit(11), "global_id")
-    sample = bounded_rows(labelled.orderBy(order, "global_id").limit(sample_rows).drop("global_id"), "unit-sample").toPandas()
+    # columns that name their unit: a unit written with the number or in the row tells of another kind of table
+    labelled = numbers.where("recorded_in IN ('column', 'name') AND table_id IS NOT NULL").select("global_id", "table_id", "col_pos", "recorded", *_features())
+    # an even sample of cells, and of each column in it a few
+    order = [F.xxhash64(F.lit(11), "global_id"), F.col("global_id")]
+    even = bounded_rows(labelled.orderBy(*order).limit(SAMPLE_OF_COLUMN * sample_rows), "unit-cells")
+    few = even.withColumn("place", F.row_number().over(Window.partitionBy("table_id", "col_pos").orderBy(*order))).where(F.col("place") <= SAMPLE_OF_COLUMN)
+    sample = few.orderBy(*order).limit(sample_rows).drop("global_id", "place", "col_pos").toPandas()
     shared = numbers.sparkSession.sparkContext.broadcast(fit_units(sample))
     counted = F.col("needs_row") & F.col("row_unit_text").isNotNull() & F.col("recorded").isNull()
     missing = F.col("recorded").isNull() & ~F.coalesce(counted, F.lit(False))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.ml.boosting import GradientBoosting
+from gridloom.operators import snapshots
 from gridloom.operators.snapshots import snapshot_deltas
 from gridloom.operators.units import convert_units
 
@@ -75,6 +76,30 @@ def test_snapshots_empty(spark):
     assert deltas(spark, [(1, "A", "a", [1], 1, None)], []) == set()
 
 
+def test_snapshots_lie_in_sorted_buckets(spark, data, monkeypatch):
+    plans, files = [], []
+
+    class Watched(snapshots.SnapshotIndex):
+        def load(self, *args):
+            super().load(*args)
+            held = self.spark.table(self.table).select("snapshot_no", F.input_file_name().alias("file")).distinct().collect()
+            buckets = [(r.snapshot_no, r.file.rsplit("_", 1)[1]) for r in held]
+            files.append((len(buckets), len(set(buckets))))
+
+        def probe(self, *args):
+            df = super().probe(*args)
+            plans.append((len(args[1]), df._jdf.queryExecution().executedPlan().toString()))
+            return df
+
+    monkeypatch.setattr(snapshots, "SnapshotIndex", Watched)
+    tables = [spark.read.parquet(f"{data}/../sf0.01/{t}.parquet") for t in ("summary_snapshots", "numeric_index")]
+    assert snapshot_deltas(*tables, buckets=3).count() > 1000
+    assert files and all(a == b for a, b in files)  # one file a bucket and snapshot
+    assert plans and not any("Exchange" in p for _, p in plans)
+    # a side of one snapshot is sorted as it lies
+    assert all(p.count("Sort [") <= (1 if n > 1 else 0) for n, p in plans)
+
+
 CELLS = "global_id string, table_id string, row_pos int, col_pos int, tag string, f double, s string, source_text string"
 TABLES = "table_id string, project_code string, tool_version string, columns array<struct<name:string,dtype:string,unit:string,nullable:boolean,is_critical:boolean>>"
 CATALOG = [("m2", "area", "m2", 1.0), ("100m2", "area", "m2", 100.0), ("kg", "mass", "kg", 1.0), ("t", "mass", "kg", 1000.0), ("vnd", "money", "vnd", 1.0), ("m_vnd", "money", "vnd", 1e6)]
@@ -135,6 +160,39 @@ def test_missing_units_are_predicted(spark):
     assert right / len(missing) > 0.95 and sum(r.origin == "predicted" for r in missing) > 0.8 * len(missing)
 
 
+def _masked(spark, likely, seed=2):
+    """Tables of three kinds of columns; those of every fourth table lack their units. Gives the accepted and all predictions with the truth."""
+    rng = random.Random(seed)
+    kinds = {"Diện tích": ("m2", "100m2"), "Trọng lượng": ("kg", "t"), "Giá trị": ("vnd", "m_vnd")}
+    scale = {"m2": 900, "100m2": 9, "kg": 5000, "t": 5, "vnd": 5e7, "m_vnd": 50}
+    tables, cells, truth = [], [], {}
+    for k in range(200):
+        columns = []
+        for j, (name, pair) in enumerate(kinds.items()):
+            unit = pair[rng.random() < 0.4]
+            columns.append((name, "Float64", None if k % 4 == 0 else {"m_vnd": "triệu đồng"}.get(unit, unit), True, False))
+            for r in range(5):
+                v = rng.lognormvariate(0, 0.6) * (scale[unit] if likely else 10)
+                cells.append((f"g{k}_{j}_{r}", f"t{k}", r, j, "Float", v, None, f"{v:.2f}"))
+                truth[f"g{k}_{j}_{r}"] = unit
+        tables.append((f"t{k}", f"P{k % 3}", "1", columns))
+    got = [r for r in units(spark, cells, tables).values() if r.origin in ("predicted", "review")]
+    assert len(got) == 50 * 15
+    return [(r.origin, r.unit_code == truth[r.global_id], r.confidence) for r in got]
+
+
+def test_confident_units_of_masked_tables_are_right(spark):
+    got = _masked(spark, True)
+    sure = [right for origin, right, _ in got if origin == "predicted"]
+    assert len(sure) > 0.8 * len(got) and np.mean(sure) > 0.95
+
+
+def test_units_that_nothing_tells_go_to_review(spark):
+    got = _masked(spark, False)
+    assert all(origin == "review" for origin, _, _ in got)
+    assert abs(np.mean([c for _, _, c in got]) - np.mean([right for _, right, _ in got])) < 0.15
+
+
 @pytest.mark.parametrize("classes", [2, 3])
 def test_boosting_on_held_out_rows(classes):
     rng = np.random.default_rng(0)
