@@ -6,11 +6,13 @@ misread characters, and running headers and page number lines.
 * Counts: words, short lines and line-end breaks of all texts are counted in one pass, combined
   before they are shuffled.
 * Misread words: correction candidates are retrieved by an inverted join on character q-grams of the
-  words' shapes (a shape writes characters that scanners confuse alike); gradient-boosted ranking on
-  edit, frequency and spelling features chooses the replacement among those of an equal shape (a 6 is
-  read as b and as g).  The model is fitted here on words of the vocabulary misread on purpose.
+  words' shapes (a shape writes characters that scanners confuse alike; a 6 is read as b and as g).
+  Words that share ``LEAST_OVERLAP`` of their q-grams are candidates; a prefix filter, which loses
+  none of them, joins them by their rarest q-grams only.  Gradient-boosted ranking on edit, shape,
+  frequency and spelling features chooses the replacement, or none.  The model is fitted here on
+  words of the vocabulary misread on purpose.
 * Line pairs: one boosted classifier decides whether a hyphen at a line end is dropped, one whether a
-  short line is page furniture, from how its masked form occurs between other lines anywhere in the
+  line is page furniture, from how its masked form occurs between other lines anywhere in the
   corpus, and one whether two lines are one paragraph.
 
 The learnt corrections are few beside the texts; they are broadcast when they number at most
@@ -30,6 +32,7 @@ Defined results for odd input:
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 import math
 import random
@@ -52,11 +55,16 @@ MAX_FIXES = 500_000
 SAMPLE_WORDS, SAMPLE_LINES, SAMPLE_TEXTS = 3000, 20_000, 300
 #: A correction occurs at least so many times as often as the word it corrects.
 LEAST_RATIO = 12
+#: Share of the q-grams of the longer word that a word and its correction have in common.
+LEAST_OVERLAP = 0.6
+#: A longer string is no word, and one with more sixes is read in one way only.
+LONGEST_WORD, MOST_SIXES = 64, 4
 #: Share of all words above which a word is taken as rightly read when the ranker is fitted.
 SURE_SHARE = 2e-5
 #: Rate of one misreading of a word where none is sure.
 DEFAULT_RATE = 3e-4
-MOST_LINE = 64
+#: Masked lines beyond this length are known by a digest.
+LONG_LINE = 64
 
 _SEPARATORS = r"[\s.,;:()\"“”…/–—«»\[\]{}<>=*#_~^]+"
 _SPLIT = re.compile(_SEPARATORS)
@@ -73,7 +81,7 @@ def _tokens(text: str) -> list[str]:
 
 
 #: Letters of the Latin alphabets and the signs that scanners put in their place.
-_JAVA_WORD = r"^[a-zß-öø-ÿăđĩũơưạ-ỹœ0-9!|+@¢°$&'’?-]{2,24}$"
+_JAVA_WORD = r"^[a-zß-öø-ÿăđĩũơưạ-ỹœ0-9!|+@¢°$&'’?-]{2,64}$"
 _CODE = re.compile(r"[A-Z]{1,2}\d+[A-Z]?")
 _NUMBER = re.compile(r"(?<![\w.,])[-(]?(?=[\dlIOoS.,]*[lIOoS])(?=[lIOoS.,]*\d|[lIOoS]+[.,]\d)[\dlIOoS]{1,3}(?:[., ]?[\dlIOoS]{3})*[.,][\dlIOoS]{1,2}(?![\dlIOoS])")
 _WHOLE_NUMBER = re.compile(r"\s*([-(]?(?=[\dlIOoS.,  ]*[lIOoS])(?=[^\d]*\d)[\dlIOoS]{1,3}(?:[.,  ]?[\dlIOoS]{3})*[.,][\dlIOoS]{1,2}\)?)(\s?[^\W\d]?[^\d]{0,11})")
@@ -110,7 +118,8 @@ _OTHER_STROKES = {"6": ("g",)}
 def shapes(word: str) -> tuple[str, ...]:
     """The word in strokes, without accents, in every way that its characters may be written."""
     parts = unicodedata.normalize("NFD", word.lower())
-    ways = [(_STROKES.get(c, c), *_OTHER_STROKES.get(c, ())) for c in parts if not unicodedata.combining(c)]
+    others = _OTHER_STROKES if sum(c in _OTHER_STROKES for c in parts) <= MOST_SIXES else {}
+    ways = [(_STROKES.get(c, c), *others.get(c, ())) for c in parts if not unicodedata.combining(c)]
     return tuple(dict.fromkeys("".join(w).replace("lo", "ll") for w in itertools.product(*ways)))
 
 
@@ -224,7 +233,9 @@ def fit_ranker(words: list[tuple[str, int]], seed: int = 3) -> GradientBoosting:
 
 #: Distinct words, lines and breaks that a task holds before it hands its counts on.
 _HELD_KEYS = 200_000
-_FACTS = ["n", "n_pages", "beside_page", "before_open", "after_small", "small"]
+#: Of a line: occurrences, those on pages and beside a page line; how often the line before goes on, the
+#: line after begins small, itself does, and the sentence that it begins goes on after it.
+_FACTS = ["n", "n_pages", "beside_page", "before_open", "after_small", "small", "goes_on"]
 _FACTS_TYPE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), *(T.StructField(c, T.LongType()) for c in _FACTS)])
 _LINE_END = re.compile(r"-[ \t]*\r?\n[ \t]*")
 
@@ -271,24 +282,30 @@ def _count_lines(text: str, pages: bool, facts: dict[str, list[int]]) -> None:
     lines = text.replace("\r", "").split("\n")
     last = len(lines) - 1
     for i, line in enumerate(lines):
-        if len(line) > MOST_LINE or _STRUCTURE.match(line) or not _HAS_CONTENT.search(line):
+        if _STRUCTURE.match(line) or not _HAS_CONTENT.search(line):
+            continue
+        key = line_key(mask(line))
+        if key is None:
             continue
         before, after = lines[i - 1] if i else "", lines[i + 1] if i < last else ""
-        own = facts.setdefault(mask(line), [0, 0, 0, 0, 0, 0])
+        own = facts.setdefault(key, [0] * len(_FACTS))
+        is_open, is_small = not _OPEN_END.search(before), _starts_small(after)
         own[0] += 1
         if pages:
             own[1] += 1
             own[2] += _is_page(before) or _is_page(after)
-        own[3] += not _OPEN_END.search(before)
-        own[4] += _starts_small(after)
+        own[3] += is_open
+        own[4] += is_small
         own[5] += _starts_small(line)
+        own[6] += is_small and not is_open
 
 
 def _count_facts(batches):
     """Partial counts of words, short lines and line-end breaks, in one pass over each text."""
 
     def handed_on():
-        rows = [("word", w, n, 0, 0, 0, 0, 0) for w, n in words.items()] + [("line", k, *v) for k, v in lines.items()] + [("break", f"{a}\n{b}", n, 0, 0, 0, 0, 0) for (a, b), n in breaks.items()]
+        none = [0] * (len(_FACTS) - 1)
+        rows = [("word", w, n, *none) for w, n in words.items()] + [("line", k, *v) for k, v in lines.items()] + [("break", f"{a}\n{b}", n, *none) for (a, b), n in breaks.items()]
         return pd.DataFrame(rows, columns=["kind", "key", *_FACTS])
 
     words, lines, breaks = Counter(), {}, Counter()
@@ -314,7 +331,7 @@ def text_facts(texts: DataFrame) -> DataFrame:
 def vocabulary(facts: DataFrame) -> DataFrame:
     """word, n; numbers, codes and words with characters of other scripts are left out."""
     words = facts.where("kind = 'word'").select(F.col("key").alias("word"), "n")
-    words = words.where(F.length("word").between(2, 26) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"^[A-Z]{1,2}\d+[A-Z]?$"))
+    words = words.where(F.length("word").between(2, LONGEST_WORD + 2) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"^[A-Z]{1,2}\d+[A-Z]?$"))
     plain = F.regexp_replace(F.lower("word"), r"^[-'’|]+|[-'’|]+$", "")
     letters = F.length(F.regexp_replace("word", r"[^\p{L}]", ""))
     return words.groupBy(plain.alias("word")).agg(F.sum("n").alias("n")).where(F.col("word").rlike(_JAVA_WORD) & (letters >= 2) & (letters > F.length(F.regexp_replace("word", r"[^0-9]", ""))))
@@ -330,6 +347,36 @@ def _grams_column(strokes: pd.Series) -> pd.Series:
     return pd.Series([_grams_of(s) for s in strokes], dtype="object")
 
 
+def prefix_length(size: int, overlap: float) -> int:
+    """Of two sets that share ``overlap`` of the larger one, a set of this size shares one of so many of its rarest."""
+    return size - math.ceil(overlap * size - 1e-9) + 1
+
+
+def _prefix_column(shared, overlap: float):
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def prefix(grams: pd.Series) -> pd.Series:
+        count = shared.value
+        return pd.Series([sorted(own, key=lambda g: (count.get(g, 0), g))[: prefix_length(len(own), overlap)] for own in grams], dtype="object")
+
+    return prefix
+
+
+def near_words(vocab: DataFrame, least_ratio: float = LEAST_RATIO, overlap: float = LEAST_OVERLAP) -> DataFrame:
+    """word, n, other, m, overlap: pairs that share ``overlap`` of their q-grams, the other more frequent by ``least_ratio``."""
+    shaped = vocab.select("word", "n", F.explode(_shapes_column("word")).alias("shape")).withColumn("grams", _grams_column("shape"))
+    # there are no more grams than threes of the few characters that shapes are written in
+    count = {r.gram: r["count"] for r in shaped.select(F.explode("grams").alias("gram")).groupBy("gram").count().toLocalIterator()}
+    shared = vocab.sparkSession.sparkContext.broadcast(count)
+    one = shaped.withColumn("prefix", _prefix_column(shared, overlap)("grams"))
+    # only a word that is rarer by least_ratio than another can be its misreading
+    lexicon = one.where(F.col("word").rlike(r"^[\p{L}'’-]+$") & (F.col("n") >= least_ratio)).select(F.col("word").alias("other"), F.col("n").alias("m"), F.col("grams").alias("other_grams"), F.col("prefix").alias("other_prefix"), F.explode("prefix").alias("gram"))
+    pairs = one.select("word", "n", "grams", "prefix", F.explode("prefix").alias("gram")).join(lexicon, "gram").where((F.col("m") >= least_ratio * F.col("n")) & (F.col("word") != F.col("other")))
+    # a pair counts at the rarest gram that both prefixes have, so it comes out once
+    once = pairs.where(F.array_intersect("prefix", "other_prefix")[0] == F.col("gram"))
+    shares = F.size(F.array_intersect("grams", "other_grams")) / F.greatest(F.size("grams"), F.size("other_grams"))
+    return once.select("word", "n", "other", "m", shares.alias("overlap")).where(F.col("overlap") >= overlap)
+
+
 @F.pandas_udf(T.BooleanType())
 def _is_syllable(word: pd.Series) -> pd.Series:
     return pd.Series([is_vietnamese_syllable(w) for w in word], dtype="bool")
@@ -360,19 +407,8 @@ def word_fixes(vocab: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame:
     letters = F.col("word").rlike(r"^[\p{L}'’-]+$")
     sure = bounded_rows(vocab.where(letters & (F.col("n") >= max(3.0, SURE_SHARE * total))).orderBy(F.desc("n"), "word").limit(SAMPLE_WORDS), "sure-words").collect()
     shared = spark.sparkContext.broadcast(fit_ranker([(r.word, r.n) for r in sure]))
-    shaped = vocab.select("word", "n", F.explode(_shapes_column("word")).alias("shape")).withColumn("grams", _grams_column("shape"))
-    one = shaped.select("word", "n", "shape", F.size("grams").alias("k"), F.explode("grams").alias("gram"))
-    # only a word that is rarer by least_ratio than another can be its misreading
-    queries, lexicon = one, one.where(F.col("word").rlike(r"^[\p{L}'’-]+$") & (F.col("n") >= least_ratio)).select(F.col("word").alias("other"), F.col("n").alias("m"), F.col("shape").alias("other_shape"), F.col("k").alias("j"), "gram")
-    near = (
-        queries.join(lexicon, "gram")
-        .where((F.col("m") >= least_ratio * F.col("n")) & (F.abs(F.col("k") - F.col("j")) <= 1))
-        .groupBy("word", "n", "shape", "other", "m", "other_shape", "k", "j")
-        .agg((F.count(F.lit(1)) / F.greatest(F.max("k"), F.max("j"))).alias("overlap"))
-        # exact checks, before the best is chosen: a shape is equal, and no accented letter comes or goes
-        .where("overlap >= 0.6 AND shape = other_shape")
-        .where(_keeps_accents("word", "other"))
-    )
+    # an exact check, before the best is chosen: no accented letter comes or goes
+    near = near_words(vocab, least_ratio).where(_keeps_accents("word", "other"))
     ranked = near.withColumn("p", _rank_column(shared)(F.col("word"), F.col("n").cast("double"), F.col("other"), F.col("m").cast("double"), F.col("overlap")))
     best = ranked.where("p >= 0.5").groupBy("word").agg(F.max_by(F.struct("other", "n", "m"), F.struct("p", "m", "other")).alias("top"))
     best = write_through(best, "ranked")
@@ -448,30 +484,49 @@ def mask(line: str) -> str:
     return _MASK.sub("#", line.strip().lower())
 
 
-def _line_features(template: str, n: float, n_pages: float, beside: float, before_open: float, after_small: float, small: float) -> list[float]:
-    ends = template[-1:] in ".!?;:,。"
-    return [math.log1p(n), beside / max(1.0, n_pages), before_open / n, after_small / n, small / n, float(ends), float("#" in template), float(len(template)), float(len(template.split())), float(bool(_PAGE.match(template)))]
+_ENDS = ".!?;:,。"
+
+
+def line_key(template: str) -> str | None:
+    """What a masked line is counted by: itself, or, if long, its digest with what the classifier asks of it.
+
+    None for long lines that end as text does: they are no furniture.
+    """
+    if len(template) <= LONG_LINE:
+        return template
+    if template[-1] in _ENDS:
+        return None
+    return f"\n{hashlib.blake2b(template.encode(), digest_size=8).hexdigest()} {int('#' in template)} {len(template)} {len(template.split())}"
+
+
+def _line_features(template: str, n: float, n_pages: float, beside: float, before_open: float, after_small: float, small: float, goes_on: float) -> list[float]:
+    if template.startswith("\n"):
+        of_text = [0.0, *map(float, template.split()[1:]), 0.0]
+    else:
+        of_text = [float(template[-1:] in _ENDS), float("#" in template), float(len(template)), float(len(template.split())), float(bool(_PAGE.match(template)))]
+    return [math.log1p(n), beside / max(1.0, n_pages), before_open / n, after_small / n, small / n, *of_text, goes_on / n]
 
 
 def fit_furniture(rows: list) -> GradientBoosting:
-    """Weak labels: page number lines and lines that keep appearing beside them; other lines are text."""
+    """Weak labels: page number lines and lines that keep appearing beside them; lines that go on are text, and the others."""
     x, y = [], []
     for r in rows:
         features = _line_features(*r)
-        if _PAGE.match(r[0]) or (features[1] >= 0.5 and r[2] >= 3 and not features[5] and not features[4]):
+        text = features[4] > 0.3 or features[10] > 0.3
+        if _PAGE.match(r[0]) or (features[1] >= 0.5 and r[2] >= 3 and not features[5] and not features[4] and not text):
             x.append(features)
             y.append(1)
-        elif features[1] < 0.3 or features[5]:
+        elif features[1] < 0.3 or features[5] or text:
             x.append(features)
             y.append(0)
     weight = np.where(np.array(y) == 1, max(1.0, (len(y) - sum(y)) / max(1, sum(y))), 1.0)
-    return GradientBoosting(trees=40, depth=3, least_weight=1.0).fit(np.array(x).reshape(-1, 10), np.array(y, int), weight=weight)
+    return GradientBoosting(trees=40, depth=3, least_weight=1.0).fit(np.array(x).reshape(-1, 11), np.array(y, int), weight=weight)
 
 
 def _furniture_column(shared):
     @F.pandas_udf(T.DoubleType())
-    def furniture(template: pd.Series, n: pd.Series, pages: pd.Series, beside: pd.Series, before: pd.Series, after: pd.Series, small: pd.Series) -> pd.Series:
-        x = np.array([_line_features(*r) for r in zip(template, n, pages, beside, before, after, small, strict=True)])
+    def furniture(template: pd.Series, n: pd.Series, pages: pd.Series, beside: pd.Series, before: pd.Series, after: pd.Series, small: pd.Series, goes_on: pd.Series) -> pd.Series:
+        x = np.array([_line_features(*r) for r in zip(template, n, pages, beside, before, after, small, goes_on, strict=True)])
         return pd.Series(shared.value.probability(x)[:, 1] if len(x) else [], dtype="float64")
 
     return furniture
@@ -480,11 +535,13 @@ def _furniture_column(shared):
 def furniture_lines(facts: DataFrame) -> DataFrame:
     """key: masked lines that are running headers or page numbers."""
     templates = facts.where("kind = 'line'").withColumnRenamed("key", "template")
-    columns = ["template", "n", "n_pages", "beside_page", "before_open", "after_small", "small"]
-    sample = bounded_rows(templates.orderBy(F.desc("beside_page"), F.desc("n"), "template").limit(SAMPLE_LINES).select(*columns), "line-sample").collect()
+    columns = ["template", *_FACTS]
+    # an even sample of the lines that ever stand beside a page line and of the others, at every size
+    halves = [templates.where(side).orderBy(F.xxhash64(F.lit(13), "template"), "template").limit(SAMPLE_LINES // 2).select(*columns) for side in ("beside_page > 0", "beside_page = 0")]
+    sample = bounded_rows(halves[0].unionByName(halves[1]), "line-sample").orderBy("template").collect()
     shared = templates.sparkSession.sparkContext.broadcast(fit_furniture([tuple(r) for r in sample]))
     numbers = [F.col("template"), *(F.col(c).cast("double") for c in columns[1:])]
-    able = templates.where((F.col("n") > 1) | (F.col("beside_page") > 0) | F.col("template").rlike(_PAGE_SHAPE)).where(~F.col("template").rlike(r"[.!?:;,。]$"))
+    able = templates.where((F.col("n") > 1) | (F.col("beside_page") > 0) | F.col("template").rlike(_PAGE_SHAPE)).where(~F.col("template").rlike(f"[{_ENDS}]$"))
     return able.where(_furniture_column(shared)(*numbers) >= 0.5).select(F.col("template").alias("key"), F.lit("").alias("value"))
 
 
@@ -530,6 +587,7 @@ class Fixes:
     def __init__(self, words: dict[str, str], hyphens: set[str], furniture: set[str], paragraphs: GradientBoosting | None = None):
         self.words, self.hyphens, self.furniture, self.paragraphs = words, hyphens, furniture, paragraphs
         self.keys = frozenset(words)
+        self.long_furniture = any(k.startswith("\n") for k in furniture)
 
     def correct(self, token: str) -> str | None:
         """The token with its correction in the token's case, or None."""
@@ -577,9 +635,9 @@ def repair(text: str, fixes: Fixes, paragraphs: bool = True) -> tuple[str, int,
     lines = text.replace("\r\n", "\n").split("\n")
     kept, removed = [], 0
     for line in lines:
-        if len(line) <= MOST_LINE and line.strip() and len(lines) > 1:
+        if len(lines) > 1 and (len(line) <= LONG_LINE or fixes.long_furniture) and line.strip():
             template = mask(line)
-            if template in fixes.furniture or template[-1:] not in ".!?" and mask(fixes.corrected(line)[0]) in fixes.furniture:
+            if line_key(template) in fixes.furniture or template[-1:] not in _ENDS and line_key(mask(fixes.corrected(line)[0])) in fixes.furniture:
                 removed += 1
                 continue
         kept.append(line)
@@ -711,8 +769,9 @@ class _Asked:
 def asked_keys(text: str | None, pages: bool, known: list[tuple[str, str, str]]) -> set[tuple[str, str]]:
     """(kind, key) of everything that the repair of a text looks up, given what is known."""
     by = {kind: _Asked({k: v for d, k, v in known if d == kind}) for kind in ("word", "hyphen", "line")}
-    fixes = Fixes({}, by["hyphen"], by["line"])
+    fixes = Fixes({}, set(), set())
     fixes.words = fixes.keys = by["word"]
+    fixes.hyphens, fixes.furniture, fixes.long_furniture = by["hyphen"], by["line"], True
     _mend(text, fixes, pages, False)
     return {(kind, key) for kind, one in by.items() for key in one.asked if key}
 
