@@ -14,7 +14,7 @@ Defined results for odd input:
 * text without any boundary is cut between characters, never between a letter and its accent or
   within CR LF, unless a single cluster exceeds the limit;
 * an overlap of ``max_chars`` or more is lowered to half of ``max_chars``; null counts as 0;
-* of repeated rows of one item the latest holds.
+* of repeated rows of one item the latest holds, of equally late ones the longest.
 """
 
 from __future__ import annotations
@@ -117,11 +117,14 @@ def find_cuts(text: str, limit: int, overlap: int, node_lengths: list[int] | Non
     return [{"start": a, "stop": b, "strength": s} for a, (b, s) in zip(starts, ends, strict=True)]
 
 
-@F.pandas_udf(CUTS_TYPE)
-def _cuts(text: pd.Series, node_lengths: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
+def _cuts_of(text: pd.Series, node_lengths: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
     return pd.Series([find_cuts(t, int(m), int(o), None if n is None else [int(x) for x in n]) for t, n, m, o in zip(text, node_lengths, limit, overlap, strict=True)])
 
 
+# else the optimizer copies it into a filter before the explosion and runs it twice
+_cuts = F.pandas_udf(_cuts_of, CUTS_TYPE).asNondeterministic()
+
+
 def section_items(sections: DataFrame) -> DataFrame:
     """Sections as items: node texts that are neither null nor blank, joined by two line feeds."""
     texts = F.filter(F.transform("nodes", lambda n: n["text"]), lambda t: t.isNotNull() & t.rlike(r"(?U)[^\s\p{Z}]"))
@@ -151,8 +154,12 @@ def split_plans(items: DataFrame, size_limits: DataFrame) -> DataFrame:
     anything moves or enters Python.
     """
     limits = size_limits.where("item_kind IS NOT NULL AND max_chars > 0").groupBy("item_kind").agg(F.min("max_chars").alias("max_chars"), F.coalesce(F.max("overlap_chars"), F.lit(0)).alias("overlap_chars"))
-    over = items.select("item_kind", "item_id", "text", "node_lengths", "as_of").join(limits, "item_kind").where(F.length("text") > F.col("max_chars"))
-    held = over.groupBy("item_kind", "item_id").agg(F.max_by(F.struct("text", "node_lengths", "max_chars", "overlap_chars"), F.coalesce("as_of", F.lit("0001-01-01").cast("timestamp_ntz"))).alias("held")).select("item_kind", "item_id", "held.*")
+    rows = items.select("item_kind", "item_id", "text", "node_lengths", "as_of").join(limits, "item_kind").where("text IS NOT NULL")
+    # the latest row of each item holds, whatever its length; only oversized texts move
+    over = F.length("text") > F.col("max_chars")
+    order = F.struct(F.coalesce("as_of", F.lit("0001-01-01").cast("timestamp_ntz")), F.length("text"), F.xxhash64("text"))
+    thin = rows.select("item_kind", "item_id", order.alias("order"), F.when(over, F.struct("text", "node_lengths", "max_chars", "overlap_chars")).alias("item"))
+    held = thin.groupBy("item_kind", "item_id").agg(F.max_by("item", "order").alias("held")).where("held IS NOT NULL").select("item_kind", "item_id", "held.*")
     return held.withColumn("cuts", _cuts("text", "node_lengths", "max_chars", "overlap_chars"))
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import random
 
 import pytest
@@ -81,6 +82,15 @@ def test_operator(spark):
     assert split.split_oversized(df.limit(0), limits).count() == 0 and split.split_oversized(df, limits.limit(0)).count() == 0
 
 
+def test_latest_row_holds_whatever_its_length(spark):
+    early, late = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 2, 1)
+    items = [("section", "1", "x" * 300, None, early), ("section", "1", "short", None, late), ("section", "2", "short", None, early), ("section", "2", "y" * 300, None, late)]
+    items += [("section", "3", "z" * 200, None, late), ("section", "3", "z" * 300, None, late), ("section", "3", "z", None, None)]
+    limits = spark.createDataFrame([("section", 100, 10)], LIMITS)
+    plans = {r.item_id: r.text for r in split.split_plans(spark.createDataFrame(items, ITEMS), limits).collect()}
+    assert plans == {"2": "y" * 300, "3": "z" * 300}
+
+
 def test_items(spark):
     schema = "section_id bigint, nodes array<struct<kind:string,text:string>>, loaded_at timestamp_ntz"
     nodes = [("Paragraph", " a"), ("Paragraph", "  "), ("Fragment", None), ("Table", "| x |")]
