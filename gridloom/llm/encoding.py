@@ -10,7 +10,8 @@ garbled texts come out whole.  Each distinct value of a batch is repaired once.
 
 Defined results for odd input:
 
-* null, empty and plain ASCII text without a question mark inside a word is clean;
+* null, empty and plain ASCII text without a question mark inside a word is clean, as is one with a
+  single word of that kind that is no Vietnamese one (an address, a missing space);
 * ``status`` is ``restored`` (original text in ``restored``), ``partial`` (some characters are
   lost; the rest is restored) or ``lost`` (nothing can be had, ``restored`` is null);
 * the recorded encoding_status and encoding_evidence are not used: they are unreliable;
@@ -20,6 +21,7 @@ Defined results for odd input:
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import unicodedata
 
@@ -53,9 +55,33 @@ _SIGNS_IN_WORDS = frozenset("'’‘-–./+&_")
 _PLAIN_SIGNS = frozenset("≤≥±×÷½¼¾°²³µØΦ–—“”‘’«»…•₫€§№′″")
 _WORD = re.compile(r"[^\W\d_²³¹¼½¾]+")
 _LONE = frozenset("ØΦφµđĐøñæœßà")
+_LOST_POWER = re.compile(r"(?<=\d)\s?[^\W\d_]{1,2}\?(?=[\s,.;)]|$)")
 _LOST_LETTER = re.compile(r"(?<=[^\W\d_])\?+(?=[^\W_])|(?<!\S)\?+(?=[^\W\d_]{1,})|(?<=[^\W\d_])\?{2,}|(?<=\d)\s?[^\W\d_]{1,2}\?(?=[\s,.;)]|$)|(?<!\S)\?{2,}(?!\S)")
 
 
+_TOKEN_WITH_MARK = re.compile(r"\S*\?\S*")
+_PART_WITH_MARK = re.compile(r"(?:[^\W\d_]|\?)+")
+
+
+@functools.lru_cache(1 << 14)
+def _may_have_lost(token: str) -> bool:
+    """Whether a word becomes a Vietnamese syllable with letters in place of its question marks."""
+    for part in _PART_WITH_MARK.findall(token.lower()):
+        n = part.count("?")
+        if 0 < n < len(part) and (n > 3 or any(is_vietnamese_syllable(part.replace("?", "%s") % letters + tone) for letters in itertools.product("aăâeêioôơuưyđ", repeat=n) for tone in ("", "\u0301"))):
+            return True
+    return False
+
+
+def _lost_letters(text: str) -> bool:
+    """Question marks that stand for lost letters: in a word that may be Vietnamese, after a number's unit, or in several words."""
+    found = [m.start() for m in _LOST_LETTER.finditer(text)] if "?" in text else []
+    if not found:
+        return False
+    words = [m.group() for m in _TOKEN_WITH_MARK.finditer(text) if any(m.start() <= k < m.end() for k in found)]
+    return len(words) > 1 or any(map(_may_have_lost, words)) or bool(_LOST_POWER.search(text))
+
+
 @functools.cache
 def _charmap(encoding: str) -> tuple[dict[str, int], dict[int, str]]:
     """A single-byte code page both ways; bytes without a character stand for themselves."""
@@ -206,7 +232,7 @@ def word_cost(word: str) -> float:
             else:
                 cost += 1.0 + 0.6 * inside
     if "?" in word:
-        cost += 2.0 * len(_LOST_LETTER.findall(word))
+        cost += 2.0 * len(_LOST_LETTER.findall(word)) * _may_have_lost(word)
     return cost
 
 
@@ -300,7 +326,7 @@ def _whole(text: str, wrong: str, right: str) -> str:
 
 def _mostly_cjk(text: str) -> bool:
     letters = [c for c in text if c.isalpha()]
-    return bool(letters) and sum(c >= "\u3040" for c in letters) >= 0.8 * len(letters)
+    return len(letters) > 1 and sum(c >= "\u3040" for c in letters) >= 0.8 * len(letters)
 
 
 def _families(text: str):
@@ -323,7 +349,7 @@ def _all_vietnamese(text: str) -> bool:
 
 def _gone(text: str) -> bool:
     """Whether characters are lost beyond repair."""
-    return "�" in text or bool(_LOST_LETTER.search(text)) or any("\x80" <= c < "\xa0" for c in text)
+    return "�" in text or _lost_letters(text) or any("\x80" <= c < "\xa0" for c in text)
 
 
 _LEFTOVER = re.compile("[ÃÂÄÅÆ][\x80-\xbf–—‘’“”„†‡•…‰‹›€™œŒžŽŸšŠƒˆ˜]|á[º»][\x80-\xbf–—‘’“”„†‡•…‰‹›€™œŒžŽŸšŠƒˆ˜]?|[├┬─╗║ß╞][^\x00-\x7f]|\x9d")
@@ -334,7 +360,7 @@ def repair(text: str) -> tuple[str, str | None, str | None]:
     """(status, restored text, the layers) of one text; status '' where it is clean."""
     before = cost(text)
     if before < 0.5:
-        return ("lost" if _LOST_LETTER.search(text) else ""), None, None
+        return ("lost" if _lost_letters(text) else ""), None, None
     now, layers = text, []
     while len(layers) < MAX_LAYERS and before >= 0.3:
         for least, stays, steps in _families(now):
@@ -343,6 +369,8 @@ def repair(text: str) -> tuple[str, str | None, str | None]:
                 again = dict(steps)
                 tried = [(min(c, cost(again[label](new))), c, label, new) for c, label, new in tried]
                 tried = [(c, label, new) for after, c, label, new in sorted(tried)[:1] if after <= stays * before]
+            # a reading without letters is none
+            tried = [x for x in tried if any(map(str.isalpha, x[2]))]
             if steps[0][0].startswith(CJK):
                 tried = [x for x in tried if _mostly_cjk(x[2])]
             best = min(tried, default=None)
@@ -356,7 +384,7 @@ def repair(text: str) -> tuple[str, str | None, str | None]:
             break
     if layers:
         return ("partial" if _gone(now) or _LEFTOVER.search(now) else "restored"), now, " / ".join(layers)
-    if "�" in text or _LOST_LETTER.search(text) or _LEFTOVER.search(text) or any("\x80" <= c < "\xa0" for c in text):
+    if "�" in text or _lost_letters(text) or _LEFTOVER.search(text) or any("\x80" <= c < "\xa0" for c in text):
         return "lost", None, None
     return "", None, None
 

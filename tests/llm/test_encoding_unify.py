@@ -63,6 +63,16 @@ def test_legacy_fonts(text):
     assert encoding.repair(to_vni(text))[:2] == ("restored", text)
 
 
+@pytest.mark.parametrize("text", ["http://a.b/c?x=1", "id?name", "Is this ok?yes", "Really ??", "?type", "Ãà"])
+def test_little_evidence_is_none(text):
+    assert encoding.repair(text)[0] == ""
+
+
+@pytest.mark.parametrize("text", ["ph?n móng", "B?I ??T", "n??c", "L?p d?ng", "5 m?, cao", "fa?ade du b?timent"])
+def test_lost_letters(text):
+    assert encoding.repair(text) == ("lost", None, None)
+
+
 def to_cp1258(text: str) -> bytes:
     out = b""
     for c in text:
