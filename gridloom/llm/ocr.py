@@ -476,12 +476,14 @@ def kept_hyphens(facts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 _PAGE_SHAPE = r"^[-–—\[(|~* ]*(?:(?:trang|tr|page|p|seite|s|pg)[. ]+)?#(?: *(?:/|of|sur|von|trên|de) *#)?[-–—\])|~* ]*(?:(?:page|trang) *)?$"
 _PAGE = re.compile(_PAGE_SHAPE)
+_HAS_DIGIT = re.compile(r"\d")
 _MASK = re.compile(r"(?<![^\W_])[a-z]?\d+(?![^\W_])")
 
 
 def mask(line: str) -> str:
     """A line with numbers and codes masked, to find it again on other pages."""
-    return _MASK.sub("#", line.strip().lower())
+    low = line.strip().lower()
+    return _MASK.sub("#", low) if _HAS_DIGIT.search(low) else low
 
 
 _ENDS = ".!?;:,。"
@@ -602,27 +604,38 @@ class Fixes:
             fixed = fixed[:1].upper() + fixed[1:]
         return token.replace(bare, fixed)
 
+    def misread(self, text: str) -> list[str]:
+        """The misread words of a text, as they are looked up."""
+        words = {t.strip(_EDGES) for t in set(_tokens(text.lower()))}
+        return [] if self.keys.isdisjoint(words) else [w for w in words if w in self.keys]
+
+    def with_words(self, text: str) -> tuple[str, int]:
+        """Text with its misread words corrected."""
+        parts, n = _CUT.split(text), 0
+        for i in range(0, len(parts), 2):
+            fixed = self.correct(parts[i]) if parts[i] else None
+            if fixed is not None:
+                parts[i] = fixed
+                n += 1
+        return "".join(parts), n
+
     def corrected(self, text: str) -> tuple[str, int]:
         """Text with its misread words and numbers corrected, and how many there were."""
-        n = 0
-        if not self.keys.isdisjoint({t.strip(_EDGES) for t in set(_tokens(text.lower()))}):
-            parts = re.split(f"({_SEPARATORS})", text)
-            for i in range(0, len(parts), 2):
-                fixed = self.correct(parts[i]) if parts[i] else None
-                if fixed is not None:
-                    parts[i] = fixed
-                    n += 1
-            text = "".join(parts)
-        whole = _WHOLE_NUMBER.fullmatch(text) if len(text) < 40 else None
-        if whole and not _CONFUSABLE.isdisjoint(whole.group(1)):
-            text = whole.group(1).translate(_DIGITS) + whole.group(2)
-            n += 1
-        elif _MAYBE_NUMBER.search(text):
-            text, k = _NUMBER.subn(lambda m: m.group().translate(_DIGITS), text)
-            n += k
-        return text, n
+        text, n = self.with_words(text) if self.misread(text) else (text, 0)
+        text, k = _with_numbers(text)
+        return text, n + k
+
 
+def _with_numbers(text: str) -> tuple[str, int]:
+    whole = _WHOLE_NUMBER.fullmatch(text) if len(text) < 40 else None
+    if whole and not _CONFUSABLE.isdisjoint(whole.group(1)):
+        return whole.group(1).translate(_DIGITS) + whole.group(2), 1
+    if _MAYBE_NUMBER.search(text):
+        return _NUMBER.subn(lambda m: m.group().translate(_DIGITS), text)
+    return text, 0
 
+
+_CUT = re.compile(f"({_SEPARATORS})")
 _MAYBE_NUMBER = re.compile(r"[lIOoS][.,]?\d|\d[.,]?[lIOoS]")
 _ENDS_BROKEN = re.compile(r"[^\W\d_]-[ \t]*$")
 
@@ -634,19 +647,23 @@ def repair(text: str, fixes: Fixes, paragraphs: bool = True) -> tuple[str, int,
         return fixed, 0, n, 0
     lines = text.replace("\r\n", "\n").split("\n")
     kept, removed = [], 0
+    misread, numbers = fixes.misread(text), bool(_MAYBE_NUMBER.search(text))
     for line in lines:
         if len(lines) > 1 and (len(line) <= LONG_LINE or fixes.long_furniture) and line.strip():
             template = mask(line)
-            if line_key(template) in fixes.furniture or template[-1:] not in _ENDS and line_key(mask(fixes.corrected(line)[0])) in fixes.furniture:
+            furniture = line_key(template) in fixes.furniture
+            if not furniture and template[-1:] not in _ENDS and (numbers and _MAYBE_NUMBER.search(line) or misread and any(w in line.lower() for w in misread)):
+                furniture = line_key(mask(fixes.corrected(line)[0])) in fixes.furniture
+            if furniture:
                 removed += 1
                 continue
         kept.append(line)
     if removed == len(lines) or not any(k.strip() for k in kept):
         kept, removed = lines, 0
-    mended, i = 0, 0
+    mended, i, n = 0, 0, 0
     out: list[str] = []
     while i < len(kept):
-        line = kept[i]
+        line, joined = kept[i], False
         while (bare := line.rstrip(" \t")).endswith("-") and _ENDS_BROKEN.search(bare[-2:]):
             j = i + 1
             while j < len(kept) and not kept[j].strip() and removed:  # a page may end within the word
@@ -663,9 +680,18 @@ def repair(text: str, fixes: Fixes, paragraphs: bool = True) -> tuple[str, int,
                 line = line.rstrip()[:-1] + kept[j]
                 mended += 1
             i = j
+            joined = True
+        if joined:
+            misread = list({*misread, *fixes.misread(line)})
+        if misread and any(w in low for low in (line.lower(),) for w in misread):
+            line, k = fixes.with_words(line)
+            n += k
         out.append(line)
         i += 1
-    fixed, n = fixes.corrected("\n".join(out))
+    fixed = "\n".join(out)
+    if numbers or len(fixed) < 40:
+        fixed, k = _with_numbers(fixed)
+        n += k
     if paragraphs and fixes.paragraphs is not None:
         fixed = _flow(fixed, fixes.paragraphs, bool(removed))
     return fixed, mended, n, removed
