@@ -25,26 +25,27 @@ def _same(a: Column, b: Column) -> Column:
     return (a["tag"] == b["tag"]) & F.when(a["tag"] == "Null", True).when(a["tag"] == "Int", a["i"].eqNullSafe(b["i"])).when(a["tag"] == "Float", F.coalesce((a["f"] == b["f"]) & ~F.isnan(a["f"]), F.lit(False))).when(a["tag"] == "Text", a["s"].eqNullSafe(b["s"])).otherwise(a["d"].eqNullSafe(b["d"]))
 
 
-def _looked_up(rules: DataFrame, cells: DataFrame, side: str) -> DataFrame:
-    """Rules with the cell they point to, or which part of the way is missing.
+def _looked_up(rules: DataFrame, cells: DataFrame, *sides: str) -> DataFrame:
+    """rule_ord and, of each side, the cell that it points to or which part of the way is missing.
 
-    Of repeated labels the first row and cell hold.
+    Of repeated labels the first row and cell hold.  Only cells of the rows pointed to are moved on.
     """
-    wanted = [F.col(f"{side}_{c}").alias(c) for c in ("table", "row", "col")]
-    points = rules.select("rule_ord", *wanted)
+    points = rules.select("rule_ord", F.explode(F.array(*(F.struct(F.lit(side).alias("side"), *(F.col(f"{side}_{c}").alias(c) for c in ("table", "row", "col"))) for side in sides))).alias("p")).select("rule_ord", "p.*")
+    wanted = points.join(cells.select(F.col("table_id").alias("table"), F.col("row_idx").alias("row"), "row_pos", "col_pos", "col_idx", F.struct("tag", "i", "f", "s", "d").alias("value")), ["table", "row"], "left")
+    # the first row of that label, and the first cell of that label in any such row
+    hit = F.min(F.when(F.col("col_idx") == F.col("col"), F.struct("row_pos", "col_pos", "value")))
+    found = wanted.groupBy("rule_ord", "side", "table").agg(F.min("row_pos").alias("first_row"), hit.alias("hit"))
     tables = cells.select(F.col("table_id").alias("table")).distinct().withColumn("has_table", F.lit(True))
-    rows = cells.groupBy(F.col("table_id").alias("table"), F.col("row_idx").alias("row")).agg(F.min("row_pos").alias("first_row"))
-    value = F.struct("tag", "i", "f", "s", "d")
-    columns = cells.groupBy(F.col("table_id").alias("table"), F.col("row_pos").alias("first_row"), F.col("col_idx").alias("col")).agg(F.min_by(value, "col_pos").alias(side))
-    found = points.join(tables, "table", "left").join(rows, ["table", "row"], "left").join(columns, ["table", "first_row", "col"], "left")
-    miss = F.when(F.col("has_table").isNull(), "MissingTable").when(F.col("first_row").isNull() | F.col(side).isNull(), "MissingReference")
-    return found.select("rule_ord", side, miss.alias(f"{side}_miss"))
+    value = F.when(F.col("hit.row_pos") == F.col("first_row"), F.col("hit.value"))
+    miss = F.when(F.col("has_table").isNull(), "MissingTable").when(value.isNull(), "MissingReference")
+    each = found.join(tables, "table", "left").select("rule_ord", "side", value.alias("value"), miss.alias("miss"))
+    return each.groupBy("rule_ord").agg(*(F.first(F.when(F.col("side") == side, F.col(c)), ignorenulls=True).alias(name) for side in sides for c, name in (("value", side), ("miss", f"{side}_miss"))))
 
 
 def exact_match(rules: DataFrame, cells: DataFrame) -> DataFrame:
     """rule_ord, rejection of the ExactMatch rules that fail."""
     own = rules.where("rule_type = 'ExactMatch'")
-    both = _looked_up(own, cells, "src").join(_looked_up(own, cells, "tgt"), "rule_ord")
+    both = _looked_up(own, cells, "src", "tgt")
     rejection = F.coalesce("src_miss", "tgt_miss", F.when(~F.coalesce(_same(F.col("src"), F.col("tgt")), F.lit(False)), "ConsistencyViolation"))
     return both.select("rule_ord", rejection.alias("rejection")).where("rejection IS NOT NULL")
 
@@ -59,8 +60,8 @@ def sum_match(rules: DataFrame, cells: DataFrame) -> DataFrame:
     target = _looked_up(own, cells, "tgt")
     number = F.when(F.col("tgt.tag") == "Int", F.col("tgt.i").cast("double")).when(F.col("tgt.tag") == "Float", F.col("tgt.f"))
     tables = cells.select(F.col("table_id").alias("src_table")).distinct().withColumn("has_table", F.lit(True))
-    first = cells.groupBy("table_id", "row_pos", "col_idx").agg(F.min_by(F.struct("tag", "i", "f", "row_idx"), "col_pos").alias("c"))
-    source = own.select("rule_ord", F.col("src_table").alias("table_id"), F.col("src_col").alias("col_idx")).join(first, ["table_id", "col_idx"])
+    column = own.select("rule_ord", F.col("src_table").alias("table_id"), F.col("src_col").alias("col_idx")).join(cells.select("table_id", "col_idx", "row_pos", "col_pos", F.struct("tag", "i", "f", "row_idx").alias("c")), ["table_id", "col_idx"])
+    source = column.groupBy("rule_ord", "row_pos").agg(F.min_by("c", "col_pos").alias("c"))
     value = F.when(F.col("c.tag") == "Int", F.col("c.i").cast("double")).when(F.col("c.tag") == "Float", F.col("c.f"))
     wrong = F.col("c.tag").isin("Text", "Date") & (F.col("c.row_idx") != 0)
     # exact equality of doubles depends on the order of the additions: a fold in row order
