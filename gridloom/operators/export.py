@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _pipe_rows(rows: Column, keep_empty: bool) -> Column:
-    """Pipe rows of a table; a separator follows every Header row."""
+    """Pipe rows of a table; a separator follows every Header row, an empty row is one pipe or left out."""
 
     def line(row: Column) -> Column:
         cells = F.concat(F.lit("|"), F.array_join(F.transform(row["cells"], lambda c: F.concat(F.lit(" "), F.coalesce(c["raw_text"], F.lit("")), F.lit(" |"))), ""), F.lit("\n"))
@@ -18,10 +18,13 @@ def _pipe_rows(rows: Column, keep_empty: bool) -> Column:
     return F.array_join(F.transform(rows, line), "")
 
 
-def table_markdown(rows: DataFrame, key: str = "table_id") -> DataFrame:
-    """Markdown of each table: empty rows and tables are left out, pipes are not escaped."""
+def table_markdown(rows: DataFrame, key: str = "table_id", keep_empty: bool = False) -> DataFrame:
+    """Markdown of each table: pipes are not escaped, empty tables are left out.
+
+    Empty rows are left out as well, unless they are kept, as a streaming writer does.
+    """
     ordered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row_pos", "row_type", "cells"))).alias("rows"))
-    return ordered.select(key, _pipe_rows(F.col("rows"), False).alias("markdown")).where("markdown <> ''")
+    return ordered.select(key, _pipe_rows(F.col("rows"), keep_empty).alias("markdown")).where("markdown <> ''")
 
 
 def node_markdown(kind: Column, level: Column, text: Column) -> Column:
@@ -70,7 +73,18 @@ def built_lines(nodes: DataFrame, key: str = "summary_id") -> DataFrame:
 def summary_json(document_summary: DataFrame) -> DataFrame:
     """Document summaries as JSON in camel case."""
     fields = F.struct("id", F.col("source_path").alias("sourcePath"), F.col("total_pages").alias("totalPages"), F.col("has_ocr").alias("hasOcr"), F.coalesce("markdown", F.lit("")).alias("markdown"))
-    return document_summary.select("id", F.to_json(fields).alias("json"))
+    return document_summary.select("id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def delta_json(report_rows: DataFrame, *keep: str) -> DataFrame:
+    """Report rows as JSON in camel case, one object a delta; missing values are null in it."""
+    fields = F.struct(F.col("node_id").alias("nodeId"), "kind", "location", F.col("old_value").alias("oldValue"), F.col("new_value").alias("newValue"))
+    return report_rows.select(*keep, F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def report_json(summary: DataFrame) -> DataFrame:
+    """The head of a report (its deltas are lines of their own, however many)."""
+    return summary.select(F.to_json(F.struct(F.col("is_identical").alias("isIdentical"), F.col("total_deltas").alias("totalDeltas"))).alias("json"))
 
 
 def write_markdown(documents: DataFrame, path: str) -> None:

@@ -9,23 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.normalize import normalize_header
+from gridloom.functions.text import fold
 
 SNIFFED_ROWS = 20
 MOST_NUMBERS = 0.7
 LEAST_SIMILARITY = 0.85
 #: Canonical columns and what their normalised headers contain; fixed values.
 ALIASES = {
-    "item_no": ["stt", "tt"],
-    "description": ["noi_dung", "hang_muc", "dien_giai", "ten_cong_viec"],
-    "unit": ["don_vi", "dvt"],
-    "quantity": ["khoi_luong", "so_luong", "kl_"],
-    "unit_price": ["don_gia"],
-    "amount": ["thanh_tien", "gia_tri"],
-    "date": ["ngay"],
-    "note": ["ghi_chu"],
+    "ma_hieu": ["ma_hieu", "ma_so", "code"],
+    "dien_giai": ["dien_giai", "noi_dung", "hang_muc", "ten_cong_viec", "description"],
+    "dvt": ["dvt", "don_vi", "unit"],
+    "khoi_luong": ["khoi_luong", "so_luong", "kl_", "kl", "quantity", "qty"],
+    "don_gia": ["don_gia", "unit_price", "price"],
+    "thanh_tien": ["thanh_tien", "gia_tri", "amount", "total_cost"],
+    "trang_thai": ["trang_thai", "tinh_trang", "status"],
+    "ngay_tao": ["ngay", "date"],
 }
-FOOTERS = ("tong cong", "cong hang muc", "nguoi lap", "ky ten", "tổng cộng", "cộng hạng mục", "người lập", "ký tên", "grand total")
+#: Rows with one of these phrases in a cell are no data; fixed values.
+FOOTERS = ("Tổng cộng", "Cộng", "Ký tên", "Ghi chú", "Xác nhận")
 
 
 def canonical_column(header: Column) -> Column:
@@ -83,8 +84,8 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def matched_headers(names: DataFrame, wanted: list[str], least: float = LEAST_SIMILARITY) -> DataFrame:
-    """name, match, similarity: the likeliest of a short list of headers for each distinct name."""
-    candidates = names.where("name IS NOT NULL").select("name", normalize_header(F.col("name")).alias("header")).distinct().withColumn("match", F.explode(F.array(*map(F.lit, wanted))))
+    """name, match, similarity: the likeliest of a short list of headers for each distinct name, accents aside."""
+    candidates = names.where("name IS NOT NULL").select("name", F.replace(fold(F.col("name")), F.lit(" "), F.lit("_")).alias("header")).distinct().withColumn("match", F.explode(F.array(*map(F.lit, wanted))))
     scored = candidates.withColumn("similarity", jaro_winkler("header", "match")).where(F.col("similarity") >= least)
     return scored.groupBy("name").agg(F.max(F.struct("similarity", "match")).alias("m")).select("name", "m.match", "m.similarity")
 
@@ -103,6 +104,6 @@ def fill_merged(headers: DataFrame, key: str = "table_id") -> DataFrame:
 
 
 def without_footers(rows: DataFrame) -> DataFrame:
-    """Rows none of whose cells begins with a footer phrase."""
-    footer = "^(" + "|".join(FOOTERS) + ")"
-    return rows.where(~F.exists("cells", lambda c: F.coalesce(F.lower(F.trim(c["raw_text"])).rlike(footer), F.lit(False))))
+    """Rows none of whose cells contains a footer phrase, in capitals or not."""
+    footer = "|".join(p.lower() for p in FOOTERS)
+    return rows.where(~F.exists("cells", lambda c: F.coalesce(F.lower(c["raw_text"]).rlike(footer), F.lit(False))))

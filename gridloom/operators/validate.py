@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROWS, MAX_COLUMNS, MIN_ROWS = 10_000, 100, 2
@@ -67,8 +67,30 @@ def verdict_cross_source(primary: DataFrame, secondary: DataFrame, keys: list[st
     return found.withColumns({"violation": F.lit("Mismatch"), "severity": F.lit(3), "technical_ref": ref})
 
 
+def number_text(value: Column) -> Column:
+    """A double in its shortest digits, without exponent and without a fraction of zero."""
+    digits = value.cast("string")
+    plain = digits.try_cast("decimal(38,18)").cast("string")
+    return F.regexp_replace(F.coalesce(plain, digits), r"\.0+$|(?<=\.\d{0,18}[1-9])0+$", "")
+
+
+def verify(facts: DataFrame, key: str, primary: DataFrame, secondary: DataFrame, keys: list[str], tolerance: float = MATH_TOLERANCE) -> DataFrame:
+    """All verdicts in one table: the sums of each project, then the pairs of sources cell by cell.
+
+    rule, subject (the key, or the keys of a pair joined by ``/``) and the columns of ``VERDICT``;
+    ``primary`` has the global_id that is the evidence of a mismatch.
+    """
+    sums = verdict_remaining(facts, key, tolerance)
+    said = F.concat(F.lit("Calculated remaining "), number_text(F.col("expected")), F.lit(", reported "), number_text(F.col("found")), F.lit(", off by "), number_text(F.abs(F.col("found") - F.col("expected"))))
+    math = sums.select(F.lit("R01").alias("rule"), F.col(key).cast("string").alias("subject"), "violation", "severity", said.alias("message"), F.lit("ProjectTruth::Financials").alias("technical_ref"), F.lit(None).cast("string").alias("evidence_id"))
+    pairs = verdict_cross_source(primary, secondary, keys, tolerance)
+    differ = F.concat(F.lit("Source A "), number_text(F.col("primary")), F.lit(", source B "), number_text(F.col("secondary")), F.lit(", off by "), number_text(F.abs(F.col("primary") - F.col("secondary"))))
+    cross = pairs.select(F.lit("R05").alias("rule"), F.concat_ws("/", *keys).alias("subject"), "violation", "severity", differ.alias("message"), "technical_ref", F.col("global_id").alias("evidence_id"))
+    return math.unionByName(cross)
+
+
 def verdict_cells(cells: DataFrame) -> DataFrame:
-    """Simple checks of single cells: no lineage (2), encoding flags (3), negative amounts (4)."""
+    """Simple checks of single cells: no lineage (severity 3), encoding flags (2), negative amounts (3)."""
     checks = F.filter(
         F.array(
             F.when(F.col("global_id").isNull() | (F.col("global_id") == ""), "LineageMissing"),

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.hashing import hex_padded, row_hash, two_decimals
 from gridloom.functions.normalize import accent_pairs, extension, file_name, global_id, normalize_header, normalize_null, normalize_number, normalize_unit, progress_percent, unknown_share
 from gridloom.functions.numbers import sanitize_number
+from gridloom.functions.text import fold_pairs, ignorable_class
 from gridloom.operators import diff, export, headers as header_ops, index, layout, rules, truth, validate
 from gridloom.operators.snapshots import section_entries
 from gridloom.plans import fixtures as fx
 from gridloom.session import scratch_path
-from gridloom.sources.documents import process_documents, scan_errors
+from gridloom.sources.documents import ERRORS, error_messages, process_documents, scan_errors
 from gridloom.sources.tables import load
 from gridloom.streaming import sections as streaming
 
@@ -59,33 +60,22 @@ def table_diff(spark: SparkSession, folder: str) -> DataFrame:
 _SNAPSHOT_KEY = ["project_code", "section_id", "table_id", "row_idx", "col_idx"]
 
 
-@_query(
-    "snapshot_table_diff",
-    """
-WITH d AS (SELECT snapshot_no, project_code, section_id, table_id, row_idx, col_idx, arg_max(numeric_value, seq) AS v
-           FROM numeric_index WHERE numeric_value IS NOT NULL AND snapshot_no IN (1, 2) GROUP BY ALL),
-a AS (SELECT project_code, section_id, table_id, row_idx, col_idx, v AS old_value, 1 AS oa FROM d WHERE snapshot_no = 1),
-b AS (SELECT project_code, section_id, table_id, row_idx, col_idx, v AS new_value, 1 AS ob FROM d WHERE snapshot_no = 2)
-SELECT project_code, section_id, table_id, row_idx, col_idx,
-       CASE WHEN oa IS NULL THEN 'Added' WHEN ob IS NULL THEN 'Removed' ELSE 'Modified' END AS kind,
-       old_value, new_value, CASE WHEN oa = 1 AND ob = 1 THEN abs(old_value - new_value) END AS delta
-FROM a FULL JOIN b USING (project_code, section_id, table_id, row_idx, col_idx)
-WHERE oa IS NULL OR ob IS NULL OR (abs(old_value - new_value) >= 1.0 AND NOT isnan(abs(old_value - new_value)))
-""",
-)
-def snapshot_table_diff(spark: SparkSession, folder: str) -> DataFrame:
-    entries = load(spark, folder, "numeric_index").where("numeric_value IS NOT NULL")
-    return diff.table_diff(entries.where("snapshot_no = 1"), entries.where("snapshot_no = 2"), _SNAPSHOT_KEY, "seq")
-
-
 _SQL_PAIRS = """
 pairs AS (SELECT * FROM (SELECT project_code, snapshot_no, lag(snapshot_no) OVER (PARTITION BY project_code ORDER BY snapshot_no) AS previous_no
           FROM (SELECT DISTINCT project_code, snapshot_no FROM summary_snapshots WHERE project_code IS NOT NULL AND snapshot_no IS NOT NULL))
           WHERE previous_no IS NOT NULL)"""
 
 
+def _nan_apart(deltas: DataFrame) -> DataFrame:
+    """NaN as a flag, so that values can be compared."""
+    for c in ("old_value", "new_value"):
+        is_nan = F.coalesce(F.isnan(c) & F.col(c).isNotNull(), F.lit(False))
+        deltas = deltas.withColumns({f"{c}_is_nan": is_nan, c: F.when(~is_nan, F.col(c))})
+    return deltas
+
+
 @_query(
-    "snapshot_table_deltas",
+    "snapshot_table_diff",
     f"""
 WITH {_SQL_PAIRS},
 d AS (SELECT snapshot_no, project_code, section_id, table_id, row_idx, col_idx, max({{'seq': coalesce(seq, -9223372036854775808), 'v': numeric_value}}).v AS v
@@ -96,14 +86,15 @@ b AS (SELECT p.snapshot_no, project_code, section_id, table_id, row_idx, col_idx
       FROM d JOIN pairs p USING (project_code) WHERE d.snapshot_no = p.snapshot_no)
 SELECT snapshot_no, project_code, section_id, table_id, row_idx, col_idx,
        CASE WHEN oa IS NULL THEN 'Added' WHEN ob IS NULL THEN 'Removed' ELSE 'Modified' END AS kind,
-       old_value, new_value, CASE WHEN oa = 1 AND ob = 1 THEN abs(old_value - new_value) END AS delta
+       coalesce(isnan(old_value), false) AS old_value_is_nan, coalesce(isnan(new_value), false) AS new_value_is_nan,
+       CASE WHEN NOT isnan(old_value) THEN old_value END AS old_value, CASE WHEN NOT isnan(new_value) THEN new_value END AS new_value, CASE WHEN oa = 1 AND ob = 1 THEN abs(old_value - new_value) END AS delta
 FROM a FULL JOIN b USING (snapshot_no, project_code, section_id, table_id, row_idx, col_idx)
 WHERE oa IS NULL OR ob IS NULL OR (abs(old_value - new_value) >= 1.0 AND NOT isnan(abs(old_value - new_value)))
 """,
 )
-def snapshot_table_deltas(spark: SparkSession, folder: str) -> DataFrame:
+def snapshot_table_diff(spark: SparkSession, folder: str) -> DataFrame:
     entries = load(spark, folder, "numeric_index").where("numeric_value IS NOT NULL")
-    return diff.table_diff(*diff.snapshot_pairs(entries, load(spark, folder, "summary_snapshots")), ["snapshot_no", *_SNAPSHOT_KEY], "seq")
+    return _nan_apart(diff.table_diff(*diff.snapshot_pairs(entries, load(spark, folder, "summary_snapshots")), ["snapshot_no", *_SNAPSHOT_KEY], "seq"))
 
 
 _SECTION_KEY = ["snapshot_no", "project_code", "id", "section_id"]
@@ -122,25 +113,9 @@ def _section_pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return diff.snapshot_pairs(section_entries(snapshots).select(*_SECTION_KEY), snapshots)
 
 
-@_query("snapshot_section_deltas", f"WITH {_SQL_SECTION_DELTAS} SELECT * FROM sd")
-def snapshot_section_deltas(spark: SparkSession, folder: str) -> DataFrame:
-    return diff.section_diff(*_section_pairs(spark, folder), _SECTION_KEY)
-
-
-@_query(
-    "section_diff",
-    """
-WITH e AS (SELECT snapshot_no, project_code, id, unnest(section_ids) AS section_id FROM summary_snapshots)
-(SELECT project_code, id, section_id, 'Removed' AS kind FROM (SELECT DISTINCT project_code, id, section_id FROM e WHERE snapshot_no = 1
- EXCEPT SELECT project_code, id, section_id FROM e WHERE snapshot_no = 2))
-UNION ALL
-(SELECT project_code, id, section_id, 'Added' FROM (SELECT DISTINCT project_code, id, section_id FROM e WHERE snapshot_no = 2
- EXCEPT SELECT project_code, id, section_id FROM e WHERE snapshot_no = 1))
-""",
-)
+@_query("section_diff", f"WITH {_SQL_SECTION_DELTAS} SELECT * FROM sd")
 def section_diff(spark: SparkSession, folder: str) -> DataFrame:
-    ids = load(spark, folder, "summary_snapshots").select("snapshot_no", "project_code", "id", F.explode("section_ids").alias("section_id"))
-    return diff.section_diff(ids.where("snapshot_no = 1"), ids.where("snapshot_no = 2"), ["project_code", "id", "section_id"])
+    return diff.section_diff(*_section_pairs(spark, folder), _SECTION_KEY)
 
 
 _SQL_HEADINGS = """
@@ -176,25 +151,20 @@ def heading_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 def _report(spark: SparkSession, folder: str) -> DataFrame:
     rows = fx.lines(spark, folder)
-    ids = load(spark, folder, "summary_snapshots").select("snapshot_no", F.explode("section_ids").alias("section_id"))
     old, new = (h.select(F.col("section_id").bitwiseXOR(F.col("node_pos").cast("long")).alias("heading_id"), "level") for h in _headings(spark, folder))
-    return diff.diff_documents((ids.where("snapshot_no = 1"), ids.where("snapshot_no = 2")), (old, new), (fx.version_a(rows), fx.version_b(rows)))
+    return diff.diff_documents(_section_pairs(spark, folder), (old, new), (fx.version_a(rows), fx.version_b(rows)), section_key=_SECTION_KEY)
 
 
 _SQL_REPORT = f"""
-WITH {fx.SQL_VERSIONS}, {_SQL_HEADINGS},
-e AS (SELECT DISTINCT snapshot_no, unnest(section_ids) AS section_id FROM summary_snapshots),
-p1 AS (SELECT 1 AS pass, CASE WHEN o.section_id IS NULL THEN 'Added' ELSE 'Removed' END AS kind, coalesce(o.section_id, n.section_id) AS section_id
-       FROM (SELECT section_id FROM e WHERE snapshot_no = 1) o FULL JOIN (SELECT section_id FROM e WHERE snapshot_no = 2) n ON o.section_id = n.section_id
-       WHERE o.section_id IS NULL OR n.section_id IS NULL),
+WITH {fx.SQL_VERSIONS}, {_SQL_HEADINGS}, {_SQL_SECTION_DELTAS.lstrip()},
 p2 AS (SELECT 2 AS pass, CASE WHEN ia IS NULL THEN 'Added' WHEN ib IS NULL THEN 'Removed' ELSE 'Modified' END AS kind, heading_id, old_level, new_level
        FROM (SELECT xor(section_id, node_pos::BIGINT) AS heading_id, max(level) AS old_level, 1 AS ia FROM h GROUP BY 1)
        FULL JOIN (SELECT xor(section_id, node_pos::BIGINT) AS heading_id, max(level) AS new_level, 1 AS ib FROM h2 GROUP BY 1) USING (heading_id)
        WHERE ia IS NULL OR ib IS NULL OR old_level IS DISTINCT FROM new_level),
 p3 AS ({_SQL_TABLE_DIFF}),
-r AS (SELECT pass, kind, section_id, NULL::BIGINT AS table_id, NULL::INT AS row_idx, NULL::INT AS col_idx, NULL::BIGINT AS heading_id, NULL::DOUBLE AS old_value, NULL::DOUBLE AS new_value, NULL::DOUBLE AS delta, NULL::INT AS old_level, NULL::INT AS new_level FROM p1
-      UNION ALL SELECT pass, kind, NULL, NULL, NULL, NULL, heading_id, NULL, NULL, NULL, old_level, new_level FROM p2
-      UNION ALL SELECT 3, kind, section_id, table_id, row_idx, col_idx, NULL, old_value, new_value, delta, NULL, NULL FROM p3)
+r AS (SELECT snapshot_no, project_code, id, 1 AS pass, kind, section_id, NULL::BIGINT AS table_id, NULL::INT AS row_idx, NULL::INT AS col_idx, NULL::BIGINT AS heading_id, NULL::DOUBLE AS old_value, NULL::DOUBLE AS new_value, NULL::DOUBLE AS delta, NULL::INT AS old_level, NULL::INT AS new_level FROM sd
+      UNION ALL SELECT NULL, NULL, NULL, pass, kind, NULL, NULL, NULL, NULL, heading_id, NULL, NULL, NULL, old_level, new_level FROM p2
+      UNION ALL SELECT NULL, NULL, NULL, 3, kind, section_id, table_id, row_idx, col_idx, NULL, old_value, new_value, delta, NULL, NULL FROM p3)
 """
 
 
@@ -213,33 +183,6 @@ def diff_summary(spark: SparkSession, folder: str) -> DataFrame:
     return diff.diff_summary(_report(spark, folder))
 
 
-def _report_of_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    rows = fx.lines(spark, folder)
-    old, new = (h.select(F.col("section_id").bitwiseXOR(F.col("node_pos").cast("long")).alias("heading_id"), "level") for h in _headings(spark, folder))
-    return diff.diff_documents(_section_pairs(spark, folder), (old, new), (fx.version_a(rows), fx.version_b(rows)), section_key=_SECTION_KEY)
-
-
-_SQL_REPORT_OF_PAIRS = f"""{_SQL_REPORT}, {_SQL_SECTION_DELTAS.lstrip()},
-rp AS (SELECT snapshot_no, project_code, id, 1 AS pass, kind, section_id, NULL::BIGINT AS table_id, NULL::INT AS row_idx, NULL::INT AS col_idx, NULL::BIGINT AS heading_id, NULL::DOUBLE AS old_value, NULL::DOUBLE AS new_value, NULL::DOUBLE AS delta, NULL::INT AS old_level, NULL::INT AS new_level FROM sd
-       UNION ALL SELECT NULL, NULL, NULL, pass, kind, section_id, table_id, row_idx, col_idx, heading_id, old_value, new_value, delta, old_level, new_level FROM r WHERE pass > 1)
-"""
-
-
-@_query("snapshot_diff_report", _SQL_REPORT_OF_PAIRS + "SELECT * FROM rp")
-def snapshot_diff_report(spark: SparkSession, folder: str) -> DataFrame:
-    return _report_of_pairs(spark, folder)
-
-
-@_query(
-    "snapshot_diff_summary",
-    _SQL_REPORT_OF_PAIRS
-    + """SELECT count(*) AS total_deltas, count(*) FILTER (kind = 'Added') AS added, count(*) FILTER (kind = 'Removed') AS removed,
-       count(*) FILTER (kind = 'Modified' AND pass = 3) AS value_mismatches, count(*) FILTER (kind = 'Modified' AND pass = 2) AS structural_changes, count(*) = 0 AS is_identical FROM rp""",
-)
-def snapshot_diff_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return diff.diff_summary(_report_of_pairs(spark, folder))
-
-
 _SQL_ROW_HASH = """
 m AS (SELECT section_id, table_id, row_idx, ((section_id::UHUGEINT * 5871781006564002453::UHUGEINT) % 18446744073709551616::UHUGEINT + table_id::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM cells_),
 rot AS (SELECT *, ((x * 32::UHUGEINT) % 18446744073709551616::UHUGEINT) + (x // 576460752303423488::UHUGEINT) AS y FROM m)"""
@@ -251,9 +194,28 @@ def row_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("table_id", "row_idx", hex_padded(row_hash("section_id", "table_id", F.col("row_idx").cast("long"))).alias("row_hash"))
 
 
-@_query("report_rows")
+_SQL_HEX = "lower(hex(({})::UBIGINT))"
+_SQL_UNSIGNED = "({}::HUGEINT + CASE WHEN {} < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END)::UHUGEINT"
+_SQL_U_SECTION, _SQL_U_TABLE, _SQL_U_HEADING = (_SQL_UNSIGNED.format(c, c) for c in ("section_id", "table_id", "heading_id"))
+
+
+@_query(
+    "report_rows",
+    _SQL_REPORT
+    + f""", x AS (SELECT *, CASE WHEN pass = 3 THEN (({_SQL_U_SECTION} * 5871781006564002453::UHUGEINT) % 18446744073709551616::UHUGEINT + {_SQL_U_TABLE}) % 18446744073709551616::UHUGEINT END AS m FROM r),
+y AS (SELECT *, ((((m * 32::UHUGEINT) % 18446744073709551616::UHUGEINT + m // 576460752303423488::UHUGEINT) * 5871781006564002453::UHUGEINT) % 18446744073709551616::UHUGEINT + row_idx::UHUGEINT) % 18446744073709551616::UHUGEINT AS h FROM x),
+z AS (SELECT *, CASE WHEN kind = 'Added' THEN ' [NEW]' ELSE '' END AS mark,
+      CASE pass WHEN 3 THEN xor(h::UBIGINT, col_idx::UBIGINT) WHEN 2 THEN {_SQL_U_HEADING}::UBIGINT ELSE {_SQL_U_SECTION}::UBIGINT END AS node FROM y)
+SELECT snapshot_no, project_code, lpad({_SQL_HEX.format("node")}, 16, '0') AS node_id,
+       CASE pass WHEN 1 THEN 'Section ' || {_SQL_HEX.format(_SQL_U_SECTION)} || mark WHEN 2 THEN 'Heading ' || {_SQL_HEX.format(_SQL_U_HEADING)} || mark
+       ELSE 'Section ' || {_SQL_U_SECTION}::VARCHAR || ' > Table ' || {_SQL_U_TABLE}::VARCHAR || ' > Row-Hash ' || {_SQL_HEX.format("h")} || ', Col ' || col_idx || mark END AS location,
+       kind,
+       CASE WHEN kind = 'Modified' AND pass = 3 THEN printf('%.2f', old_value) WHEN kind = 'Modified' AND pass = 2 THEN 'Heading level changed: H' || old_level || ' → H' || new_level END AS old_value,
+       CASE WHEN kind = 'Modified' AND pass = 3 THEN printf('%.2f', new_value) END AS new_value
+FROM z""",
+)
 def report_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return diff.report_rows(_report_of_pairs(spark, folder), "snapshot_no", "project_code")
+    return diff.report_rows(_report(spark, folder), "snapshot_no", "project_code")
 
 
 @_query("formatted_values", f"WITH {fx.SQL_VERSIONS}, p3 AS ({_SQL_TABLE_DIFF}) SELECT table_id, row_idx, col_idx, printf('%.2f', old_value) AS old_text, printf('%.2f', new_value) AS new_text FROM p3 WHERE kind = 'Modified'")
@@ -405,11 +367,21 @@ def sniff_header(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _WANTED = ["khoi_luong", "don_vi", "hang_muc", "thanh_tien", "ghi_chu", "ngay_lap"]
+_SQL_HEADER = f"""regexp_replace(translate(lower(regexp_replace(name, '^{_UNICODE_SPACE}+|{_UNICODE_SPACE}+$', '', 'g')), '{_SOURCE}', '{_TARGET}'), '{_UNICODE_SPACE}+', '_', 'g')"""
+
 
+_FOLD_FROM, _FOLD_TO = (x.replace("'", "''") for x in fold_pairs())
+_SQL_FOLDED = f"trim(regexp_replace(lower(translate(regexp_replace(name, '[\\x{{300}}-\\x{{36F}}{ignorable_class()}]', '', 'g'), '{_FOLD_FROM}', '{_FOLD_TO}')), '\\s+', ' ', 'g'))"
 
-@_query("fuzzy_headers")
+
+@_query(
+    "fuzzy_headers",
+    f"""WITH {_SQL_NAMES}, h AS (SELECT DISTINCT name, replace({_SQL_FOLDED}, ' ', '_') AS header FROM n WHERE name IS NOT NULL),
+p AS (SELECT name, w AS "match", jaro_winkler_similarity(header, w) AS similarity FROM h, unnest({_WANTED!r}) t(w))
+SELECT name, "match", round(similarity, 9) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(similarity, 9) DESC, "match" DESC) AS rn FROM p WHERE similarity >= 0.85) WHERE rn = 1""",
+)
 def fuzzy_headers(spark: SparkSession, folder: str) -> DataFrame:
-    return header_ops.matched_headers(_names(spark, folder), _WANTED)
+    return header_ops.matched_headers(_names(spark, folder), _WANTED).withColumn("similarity", F.round("similarity", 9))
 
 
 @_query(
@@ -424,12 +396,25 @@ def merged_headers(spark: SparkSession, folder: str) -> DataFrame:
     return header_ops.fill_merged(_names(spark, folder).withColumn("name", F.when(F.col("col_pos") % 3 == 0, F.col("name")).otherwise("")))
 
 
-@_query("canonical_columns")
+def _sql_canonical(header: str) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f"contains({header}, '{p}')" if len(p) > 2 else f"{header} = '{p}'" for p in parts)} THEN '{name}'" for name, parts in header_ops.ALIASES.items()) + " END"
+
+
+@_query("canonical_columns", f"WITH {_SQL_NAMES}, h AS (SELECT DISTINCT name, {_SQL_HEADER} AS header FROM n) SELECT name, {_sql_canonical('header')} AS canonical FROM h")
 def canonical_columns(spark: SparkSession, folder: str) -> DataFrame:
     names = _names(spark, folder).select("name").distinct()
     return names.withColumn("canonical", header_ops.canonical_column(normalize_header(F.col("name"))))
 
 
+@_query(
+    "without_footers",
+    f"""SELECT DISTINCT table_id, row_pos, len(cells) AS n FROM physical_rows
+WHERE len([1 FOR c IN cells IF coalesce(regexp_matches(lower(c.raw_text), '{"|".join(p.lower() for p in header_ops.FOOTERS)}'), false)]) = 0""",
+)
+def without_footers(spark: SparkSession, folder: str) -> DataFrame:
+    return header_ops.without_footers(load(spark, folder, "physical_rows").where("cells IS NOT NULL")).select("table_id", "row_pos", F.size("cells").cast("long").alias("n")).distinct()
+
+
 # ---------------------------------------------------------------- truth tables
 
 _SQL_TRUTH = """
@@ -502,10 +487,14 @@ _SQL_FACTS = "f AS (SELECT l_orderkey, sum(l_quantity) AS total_cost, sum(l_quan
 
 @_query("verdict_r01", f"WITH {_SQL_FACTS} SELECT l_orderkey, 'MathError' AS violation, 3 AS severity, remaining AS found, total_cost - total_paid AS expected FROM f WHERE abs(remaining - (total_cost - total_paid)) > 1.0")
 def verdict_r01(spark: SparkSession, folder: str) -> DataFrame:
+    return validate.verdict_remaining(_facts(spark, folder), "l_orderkey")
+
+
+def _facts(spark: SparkSession, folder: str) -> DataFrame:
     odd = F.col("l_linenumber") % 2
     facts = load(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("total_cost"), F.sum(F.col("l_quantity") * odd).alias("total_paid"), F.sum(F.col("l_quantity") * (1 - odd)).alias("rest"))
     extra = F.when(F.col("l_orderkey") % 10 == 0, 1.0).when(F.col("l_orderkey") % 10 == 1, 2.0).otherwise(0.0)
-    return validate.verdict_remaining(facts.withColumn("remaining", F.col("rest") + extra), "l_orderkey")
+    return facts.withColumn("remaining", F.col("rest") + extra)
 
 
 @_query(
@@ -519,6 +508,37 @@ def verdict_r05(spark: SparkSession, folder: str) -> DataFrame:
     return validate.verdict_cross_source(shaped(fx.version_a(rows)), shaped(fx.version_b(rows)), ["section_id", "table_id"]).drop("section_id")
 
 
+_SQL_NUMBER = "regexp_replace(({})::VARCHAR, '\\.0$', '')"
+
+
+@_query(
+    "verify",
+    f"""WITH {fx.SQL_VERSIONS}, {_SQL_FACTS},
+pa AS (SELECT *, dense_rank() OVER (PARTITION BY section_id, table_id ORDER BY row_idx) - 1 AS row_pos FROM a),
+pb AS (SELECT *, dense_rank() OVER (PARTITION BY section_id, table_id ORDER BY row_idx) - 1 AS row_pos FROM b),
+c AS (SELECT section_id, table_id, row_pos, col_idx, pa.row_idx AS row_idx, pa.numeric_value AS x, pb.numeric_value AS y FROM pa JOIN pb USING (section_id, table_id, row_pos, col_idx))
+SELECT 'R01' AS rule, l_orderkey::VARCHAR AS subject, 'MathError' AS violation, 3 AS severity,
+       'Calculated remaining ' || {_SQL_NUMBER.format("total_cost - total_paid")} || ', reported ' || {_SQL_NUMBER.format("remaining")} || ', off by ' || {_SQL_NUMBER.format("abs(remaining - (total_cost - total_paid))")} AS message,
+       'ProjectTruth::Financials' AS technical_ref, NULL AS evidence_id
+FROM f WHERE abs(remaining - (total_cost - total_paid)) > 1.0
+UNION ALL
+SELECT 'R05', section_id || '/' || table_id, 'Mismatch', 3,
+       'Source A ' || {_SQL_NUMBER.format("x")} || ', source B ' || {_SQL_NUMBER.format("y")} || ', off by ' || {_SQL_NUMBER.format("abs(x - y)")},
+       'Row ' || row_pos || ', Col ' || col_idx, table_id || '_' || row_idx || '_' || col_idx
+FROM c WHERE abs(x - y) > 1.0""",
+)
+def verify(spark: SparkSession, folder: str) -> DataFrame:
+    """The second source lacks some first rows, so rows stand at other positions than their labels say."""
+    rows = fx.lines(spark, folder)
+    position = F.dense_rank().over(Window.partitionBy("section_id", "table_id").orderBy("row_idx")) - 1
+
+    def placed(df: DataFrame) -> DataFrame:
+        label = F.concat_ws("_", "table_id", "row_idx", "col_idx")
+        return df.select("section_id", "table_id", position.alias("row_pos"), F.col("col_idx").alias("col_pos"), F.lit("Float").alias("tag"), F.col("numeric_value").alias("f"), label.alias("global_id"))
+
+    return validate.verify(_facts(spark, folder), "l_orderkey", placed(fx.version_a(rows)), placed(fx.version_b(rows)), ["section_id", "table_id"])
+
+
 _SQL_CELL_VERDICTS = """
 c AS (SELECT DISTINCT table_id, row_pos, col_pos, global_id, encoding_status, tag, f FROM cells),
 v AS (SELECT table_id, row_pos, col_pos, global_id, 'LineageMissing' AS violation, 3 AS severity FROM c WHERE global_id IS NULL OR global_id = ''
@@ -584,6 +604,25 @@ def rule_exact_match(spark: SparkSession, folder: str) -> DataFrame:
     return rules.exact_match(_rules(spark, folder), _rule_cells(spark, folder))
 
 
+@_query(
+    "rule_edge_cases",
+    """WITH o AS (SELECT o_orderkey AS k, q, n FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)
+SELECT (k * 10)::BIGINT AS rule_ord, CASE WHEN n IS NULL THEN 'MissingTable' WHEN n > 1 THEN 'TypeMismatch' ELSE 'ConsistencyViolation' END AS rejection FROM o
+UNION ALL SELECT k * 10 + 1, CASE WHEN n IS NULL THEN 'MissingTable' ELSE 'TypeMismatch' END FROM o
+UNION ALL SELECT k * 10 + 2, CASE WHEN n IS NULL THEN 'MissingTable' WHEN n <= 7 THEN 'MissingReference' ELSE 'ConsistencyViolation' END FROM o
+UNION ALL SELECT k * 10 + 3, CASE WHEN n IS NULL THEN 'MissingTable' ELSE 'MissingReference' END FROM o
+UNION ALL SELECT k * 10 + 4, 'MissingTable' FROM o""",
+)
+def rule_edge_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Sum rules over a column of texts, into a text, into a missing row, a missing column and from a missing table."""
+    key, own = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    target = F.concat(F.lit("sum_"), own)
+    cases = [(own, 2, target, 0, 0), (own, 0, own, 0, 2), (own, 0, own, 7, 0), (own, 0, own, 0, 9), (F.lit("none"), 0, target, 0, 0)]
+    each = F.array(*(F.struct((key * 10 + n).alias("rule_ord"), F.lit("SumMatch").alias("rule_type"), a.alias("src_table"), F.lit(0).alias("src_row"), F.lit(c).alias("src_col"), b.alias("tgt_table"), F.lit(r).alias("tgt_row"), F.lit(d).alias("tgt_col")) for n, (a, c, b, r, d) in enumerate(cases)))
+    wanted = load(spark, folder, "orders").select(F.explode(each).alias("r")).select("r.*")
+    return rules.sum_match(wanted, _rule_cells(spark, folder).unionByName(_sum_targets(spark, folder))).select("rule_ord", "rejection")
+
+
 def _relations(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     orders = load(spark, folder, "orders")
     relations = orders.select(F.col("o_orderkey").cast("int").alias("rel_ord"), F.concat(F.lit("c"), "o_custkey").alias("from_id"), F.concat(F.lit("o"), "o_orderkey").alias("to_id"), F.lit("PARENT_OF").alias("kind"))
@@ -740,7 +779,51 @@ def document_summary(spark: SparkSession, folder: str) -> DataFrame:
     return process_documents(_files(spark, folder)).select("source_path", "total_pages", "has_ocr", F.md5("markdown").alias("md5"), "error_code")
 
 
-@_query("summary_json")
+@_query(
+    "decoded_bytes",
+    rf"""WITH f AS (SELECT DISTINCT source_path AS path, regexp_extract(source_path, '([^/\\]*)$', 1) AS name, markdown AS m FROM document_summary WHERE source_path IS NOT NULL AND markdown IS NOT NULL)
+SELECT path, '# ' || name || chr(10) || chr(10) || CASE WHEN strlen(m) % 2 = 0 THEN '# ' || name || chr(10) || chr(10) || '[binary content]' || chr(10) || chr(10)
+  WHEN regexp_replace(m, {_TRIM}) <> '' THEN regexp_replace(m, {_TRIM}) || chr(10) || chr(10) ELSE '' END AS markdown
+FROM f WHERE lower(regexp_extract(name, '[^.]\.([^.]*)$', 1)) IN ('pdf', 'docx')""",
+)
+def decoded_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every second content ends with a byte that is no UTF-8."""
+    files = _files(spark, folder).where("path IS NOT NULL AND content IS NOT NULL")
+    spoiled = files.withColumn("content", F.when(F.col("length") % 2 == 0, F.concat("content", F.unhex(F.lit("FF")))).otherwise(F.col("content")))
+    return process_documents(spoiled).where("error_code IS NULL").select(F.col("source_path").alias("path"), "markdown")
+
+
+@_query(
+    "error_messages",
+    "SELECT DISTINCT id, error_code, CASE error_code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ERRORS.items()) + " END AS message FROM document_summary",
+)
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    return error_messages(load(spark, folder, "document_summary").select("id", "error_code").distinct())
+
+
+@_query("delta_json", f"SELECT snapshot_no, project_code, json_object('nodeId', node_id, 'kind', kind, 'location', location, 'oldValue', old_value, 'newValue', new_value)::VARCHAR AS json FROM ({SQL['report_rows']})")
+def delta_json(spark: SparkSession, folder: str) -> DataFrame:
+    return export.delta_json(report_rows(spark, folder), "snapshot_no", "project_code")
+
+
+@_query("report_json", f"SELECT json_object('isIdentical', is_identical, 'totalDeltas', total_deltas)::VARCHAR AS json FROM ({SQL['diff_summary']})")
+def report_json(spark: SparkSession, folder: str) -> DataFrame:
+    return export.report_json(diff_summary(spark, folder))
+
+
+@_query(
+    "built_table_rows",
+    """WITH r AS (SELECT DISTINCT table_id, row_pos, row_type, CASE WHEN row_pos % 5 = 3 THEN [] ELSE cells END AS cells FROM physical_rows)
+SELECT table_id, md5(string_agg('|' || array_to_string([' ' || coalesce(c.raw_text, '') || ' |' FOR c IN cells], '') || chr(10) || CASE WHEN row_type = 'Header' THEN '|' || repeat('---|', len(cells)) || chr(10) ELSE '' END, '' ORDER BY row_pos, row_type, cells)) AS md5
+FROM r GROUP BY 1""",
+)
+def built_table_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """As a streaming writer prints them: every fifth row is empty and stays."""
+    rows = load(spark, folder, "physical_rows").select("table_id", "row_pos", "row_type", F.when(F.col("row_pos") % 5 != 3, F.col("cells")).otherwise(F.slice("cells", 1, 0)).alias("cells")).distinct()
+    return export.table_markdown(rows, keep_empty=True).select("table_id", F.md5("markdown").alias("md5"))
+
+
+@_query("summary_json", "SELECT DISTINCT id, json_object('id', id, 'sourcePath', source_path, 'totalPages', total_pages, 'hasOcr', has_ocr, 'markdown', coalesce(markdown, ''))::VARCHAR AS json FROM document_summary")
 def summary_json(spark: SparkSession, folder: str) -> DataFrame:
     return export.summary_json(load(spark, folder, "document_summary")).distinct()
 

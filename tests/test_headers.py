@@ -29,7 +29,7 @@ def test_sniff_fill_and_filter(spark):
     assert sorted((r.table_id, r.row_pos) for r in h.without_footers(df).collect()) == [("t", 0), ("t", 1), ("t", 2), ("u", 0)]
     names = spark.createDataFrame([("t", i, n) for i, n in enumerate(["", "A", None, " ", "B", ""])], "table_id string, col_pos int, name string")
     assert [r.filled for r in h.fill_merged(names).orderBy("col_pos").collect()] == ["", "A", "A_sub", "A_sub_2", "B", "B_sub"]
-    canonical = spark.createDataFrame([("ten_cong_viec",), ("tt",), ("att",), ("kl_thuc_hien",), (None,)], "h string").select(h.canonical_column(F.col("h")).alias("c"))
-    assert [r.c for r in canonical.collect()] == ["description", "item_no", None, "quantity", None]
+    canonical = spark.createDataFrame([("ten_cong_viec",), ("tt",), ("ma_hieu_don_gia",), ("kl_thuc_hien",), ("kl",), ("trang_thai",), (None,)], "h string").select(h.canonical_column(F.col("h")).alias("c"))
+    assert [r.c for r in canonical.collect()] == ["dien_giai", None, "ma_hieu", "khoi_luong", "khoi_luong", "trang_thai", None]
     got = h.matched_headers(spark.createDataFrame([("Khối lương",), ("zzz",), (None,)], "name string"), ["khoi_luong", "don_vi"]).collect()
     assert [(r.name, r.match) for r in got] == [("Khối lương", "khoi_luong")]

@@ -77,11 +77,11 @@ def test_snapshot_queries_cover_all_pairs(spark, data):
     from gridloom.sources.tables import load
 
     wanted = Counter((r.snapshot_no, r.project_code, r.record_kind, r.delta_type) for r in snapshot_deltas(load(spark, data, "summary_snapshots"), load(spark, data, "numeric_index")).collect())
-    found = Counter((r.snapshot_no, r.project_code, "cell", r.kind.replace("Modified", "ValueMismatch")) for r in QUERIES["snapshot_table_deltas"](spark, data).collect())
-    found += Counter((r.snapshot_no, r.project_code, "section", r.kind) for r in QUERIES["snapshot_section_deltas"](spark, data).collect())
+    found = Counter((r.snapshot_no, r.project_code, "cell", r.kind.replace("Modified", "ValueMismatch")) for r in QUERIES["snapshot_table_diff"](spark, data).collect())
+    found += Counter((r.snapshot_no, r.project_code, "section", r.kind) for r in QUERIES["section_diff"](spark, data).collect())
     assert found == wanted and len({k[0] for k in wanted}) > 1
     reported = Counter(r.snapshot_no for r in QUERIES["report_rows"](spark, data).where("snapshot_no IS NOT NULL").collect())
-    assert reported == Counter(r.snapshot_no for r in QUERIES["snapshot_section_deltas"](spark, data).collect())
+    assert reported == Counter(r.snapshot_no for r in QUERIES["section_diff"](spark, data).collect())
 
 
 def test_content_diff_does_not_cascade(spark):
