@@ -17,20 +17,32 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can read and write.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-    machine) a temporary folder is made and remembered in the session.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset on a local master (tests
+    on one machine) a temporary folder is made and remembered in the session; elsewhere it is an error.
     """
     folder = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set(CHECKPOINT_KEY, folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that is this application's."""
+    return f"{shared_folder(spark)}/gridloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote into the shared folder: call it when all results are stored."""
+    remove_path(spark, scratch_folder(spark))
 
 
 def write_through(df: DataFrame, name: str) -> DataFrame:

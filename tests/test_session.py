@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import zipfile
 from pathlib import Path
+from types import SimpleNamespace
+
+import pytest
 
 from gridloom import session
 
@@ -28,3 +31,18 @@ def test_package_is_shipped_once(spark, monkeypatch):
     monkeypatch.setattr(session, "_SHIPPED", set())
     session.ship_package(spark)
     assert len(sent) == 1
+
+
+def test_cluster_must_name_its_folder():
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf), conf=conf)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(cluster)
+
+
+def test_scratch_is_removed(spark):
+    df = session.write_through(spark.range(3), "three")
+    folder = Path(session.scratch_folder(spark).removeprefix("file://"))
+    assert df.count() == 3 and any(folder.iterdir())
+    session.remove_scratch(spark)
+    assert not folder.exists()
