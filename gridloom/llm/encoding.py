@@ -392,13 +392,16 @@ def repair(text: str) -> tuple[str, str | None, str | None]:
 REPAIR_TYPE = T.StructType([T.StructField(c, T.StringType()) for c in ("status", "restored", "layers")])
 
 
-@F.pandas_udf(REPAIR_TYPE)
-def repair_column(text: pd.Series) -> pd.DataFrame:
+def _repair_values(text: pd.Series) -> pd.DataFrame:
     codes, values = pd.factorize(text)
     done = pd.DataFrame([repair(v) for v in values] + [("", None, None)], columns=["status", "restored", "layers"])
     return done.iloc[codes].reset_index(drop=True)
 
 
+# else the optimizer copies it into the filter on its status and runs it twice
+repair_column = F.pandas_udf(_repair_values, REPAIR_TYPE).asNondeterministic()
+
+
 def garbled_texts(table: DataFrame, text: str = "source_text") -> DataFrame:
     """Rows whose ``text`` was decoded wrongly, with encoding_repair: status, restored, layers.
 

@@ -164,7 +164,7 @@ def _cut_column(shared, coverage: float):
         rows = [(None, 0, 0) if t is None else (t, 0, 0) if not automaton.matches(words(t)) else cut_spans(t, automaton, coverage) for t in text]
         return pd.DataFrame(rows, columns=["text", "removed_words", "all_words"])
 
-    return cut
+    return cut.asNondeterministic()  # else the optimizer copies it into a filter on the words removed
 
 
 def _automata(items: DataFrame, min_words: int, block_words: int):

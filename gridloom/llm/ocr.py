@@ -770,7 +770,7 @@ def _repair_column(shared, paragraphs: bool):
         done = [_mend(v, fixes, bool(of[k]), paragraphs) for k, v in enumerate(values)] + [(None, 0, 0, 0)]
         return pd.DataFrame(done, columns=["text", "mended", "corrected", "furniture"]).iloc[codes].reset_index(drop=True)
 
-    return column
+    return column.asNondeterministic()  # else the optimizer copies it into filters on its counts
 
 
 class _Asked:
@@ -846,7 +846,7 @@ def _repair_own_column(shared, paragraphs: bool):
             done.append(_mend(t, fixes, f == "markdown", paragraphs))
         return pd.DataFrame(done, columns=["text", "mended", "corrected", "furniture"])
 
-    return column
+    return column.asNondeterministic()
 
 
 def repaired(texts: DataFrame, paragraphs: bool = True, max_fixes: int = MAX_FIXES) -> DataFrame:
