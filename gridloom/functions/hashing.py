@@ -45,4 +45,4 @@ def row_hash(section_id: pd.Series, table_id: pd.Series, row_idx: pd.Series) ->
 @F.pandas_udf(T.StringType())
 def two_decimals(value: pd.Series) -> pd.Series:
     """A double to two decimals by its exact binary value; Spark's own format rounds its shortest text."""
-    return value.map(lambda v: None if v is None or pd.isna(v) else f"{v:.2f}")
+    return pd.Series([None if v != v else "%.2f" % v for v in value.to_numpy(float, na_value=np.nan).tolist()], dtype=object)
