@@ -26,7 +26,7 @@ import functools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,3 +165,14 @@ def reached_shares(mixed: DataFrame, rates: DataFrame) -> DataFrame:
         "documents",
         "most_copies",
     )
+
+
+def kept_limits(mixed: DataFrame, rates: DataFrame, mix_targets: DataFrame) -> DataFrame:
+    """plan_name, source, within_repeats, near_target: whether no document is used too often, and whether the
+    tokens are those wanted, or all there may be, to within one document."""
+    got = mixed.groupBy("plan_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most"), F.max("n_tokens").alias("largest"))
+    repeats = mix_targets.groupBy("plan_name", "source").agg(F.max("max_repeats").alias("max_repeats"))
+    both = rates.join(repeats, ["plan_name", "source"]).join(got, ["plan_name", "source"], "left").na.fill(0, ["tokens", "most", "largest"])
+    largest = F.max("largest").over(Window.partitionBy("plan_name"))
+    gap = F.abs(F.col("tokens") - F.col("copies") * F.col("available"))
+    return both.select("plan_name", "source", (F.col("most") <= F.col("max_repeats")).alias("within_repeats"), (gap <= largest).alias("near_target"))

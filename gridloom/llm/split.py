@@ -25,7 +25,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,3 +175,11 @@ def split_oversized(items: DataFrame, size_limits: DataFrame) -> DataFrame:
         F.col("cut.strength").alias("cut_strength"),
         F.expr("substring(text, cut.start + 1, cut.stop - cut.start)").alias("text"),
     )
+
+
+def rejoined(pieces: DataFrame) -> DataFrame:
+    """item_kind, item_id, text, longest: the items put together again from their pieces, without the overlaps."""
+    before = F.lag("end_char").over(Window.partitionBy("item_kind", "item_id").orderBy("piece_no"))
+    own = pieces.withColumn("shared", F.coalesce(before, F.lit(0)) - F.col("start_char"))
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", F.expr("substring(text, shared + 1)").alias("text"))))
+    return own.groupBy("item_kind", "item_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"), F.max(F.length("text")).alias("longest"))
