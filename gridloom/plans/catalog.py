@@ -13,6 +13,7 @@ from gridloom.operators import diff, export, headers as header_ops, index, layou
 from gridloom.operators.snapshots import section_entries
 from gridloom.plans import fixtures as fx
 from gridloom.session import scratch_path
+from gridloom.sources import ingestion
 from gridloom.sources.documents import ERRORS, error_messages, process_documents, scan_errors
 from gridloom.sources.tables import load
 from gridloom.streaming import sections as streaming
@@ -823,6 +824,44 @@ def built_table_rows(spark: SparkSession, folder: str) -> DataFrame:
     return export.table_markdown(rows, keep_empty=True).select("table_id", F.md5("markdown").alias("md5"))
 
 
+_SQL_SIGNED = """
+d AS (SELECT DISTINCT id, total_pages, coalesce(total_pages, 0) % 8 AS odd FROM document_summary WHERE id IS NOT NULL)"""
+
+
+@_query(
+    "ingestion_records",
+    f"""WITH {_SQL_SIGNED}
+SELECT id, CASE odd WHEN 0 THEN [] WHEN 1 THEN ['checksum missing'] WHEN 2 THEN ['document_type'] WHEN 3 THEN ['schema_version', 'engine'] WHEN 4 THEN ['checksum']
+  WHEN 5 THEN ['engine_version', 'timestamp'] WHEN 6 THEN ['pages'] ELSE ['record'] END AS rejections FROM d""",
+)
+def ingestion_records(spark: SparkSession, folder: str) -> DataFrame:
+    """A record of each document, with another fault for each remainder of its pages by eight."""
+    docs = load(spark, folder, "document_summary").where("id IS NOT NULL").select("id", "total_pages").distinct()
+    odd = F.coalesce("total_pages", F.lit(0)) % 8
+    pick = lambda k, wrong, right: F.when(odd == k, F.lit(wrong)).otherwise(F.lit(right))
+    sums = F.when(odd != 1, F.concat(F.when(odd == 4, "md5:").otherwise("sha256:"), F.sha2("id", 256)))
+    page = F.struct(pick(6, 0, 1).alias("page"), F.lit("table").alias("content_type"), F.lit(0.5).alias("confidence"))
+    meta = F.struct(pick(3, "other", "calamine").alias("engine"), pick(5, "one", "0.32.0").alias("engine_version"), pick(5, "late", "2026-01-10T10:46:54Z").alias("timestamp"))
+    record = F.struct(F.lit("x").alias("source"), pick(2, "LETTER", "BOQ_RAW").alias("document_type"), pick(3, "0.0", "0.1").alias("schema_version"), sums.alias("checksum"), F.concat(F.lit("ed25519:"), F.repeat(F.lit("ab"), 64)).alias("origin_signature"), F.array(page).alias("pages"), meta.alias("extraction_meta"))
+    written = docs.withColumn("json", F.when(odd == 7, F.lit("[1, 2")).otherwise(F.to_json(record)))
+    return ingestion.validate_records(written, schema_version="0.1").select("id", "rejections")
+
+
+@_query(
+    "skipped_pages",
+    """WITH n AS (SELECT DISTINCT summary_id, section_pos, generate_subscripts(nodes, 1) AS pos, unnest(nodes) AS n FROM sections WHERE summary_id IS NOT NULL),
+p AS (SELECT summary_id, n.page_index AS page, n.page_index % 7 = 3 AS failed, string_agg(n.text, chr(10) ORDER BY section_pos, pos, n.text) AS text FROM n WHERE n.page_index IS NOT NULL GROUP BY ALL),
+m AS (SELECT *, CASE WHEN failed THEN '[OCR_FAILED_PAGE_' || page + 1 || ']' ELSE text END AS t FROM p)
+SELECT summary_id, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY page), '')) AS md5, count(*) AS pages, count(*) FILTER (failed) AS skipped FROM m GROUP BY 1""",
+)
+def skipped_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of sections by page; every seventh page counts as unread."""
+    nodes = load(spark, folder, "sections").where("summary_id IS NOT NULL").select("summary_id", "section_pos", F.posexplode("nodes").alias("pos", "n")).distinct().where("n.page_index IS NOT NULL")
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("n.text").isNotNull(), F.struct("section_pos", "pos", F.col("n.text").alias("text"))))), lambda x: x["text"])
+    pages = nodes.groupBy("summary_id", F.col("n.page_index").alias("page")).agg(F.when(F.count("n.text") > 0, F.array_join(texts, "\n")).alias("text")).withColumn("failed", F.col("page") % 7 == 3)
+    return ingestion.skipped_pages(pages).select("summary_id", F.md5("markdown").alias("md5"), "pages", "skipped")
+
+
 @_query("summary_json", "SELECT DISTINCT id, json_object('id', id, 'sourcePath', source_path, 'totalPages', total_pages, 'hasOcr', has_ocr, 'markdown', coalesce(markdown, ''))::VARCHAR AS json FROM document_summary")
 def summary_json(spark: SparkSession, folder: str) -> DataFrame:
     return export.summary_json(load(spark, folder, "document_summary")).distinct()

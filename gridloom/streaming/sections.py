@@ -75,17 +75,21 @@ def closed_sections(nodes: DataFrame) -> DataFrame:
 
 
 class Progress(StreamingQueryListener):
-    """Collects rows and batches of running queries, for progress displays."""
+    """Rows, batches and phase of running queries, for progress displays; ``percent`` of a known total."""
 
-    def __init__(self) -> None:
-        self.rows, self.batches = 0, 0
+    def __init__(self, total: int | None = None) -> None:
+        self.total, self.rows, self.batches, self.phase = total, 0, 0, "waiting"
+
+    @property
+    def percent(self) -> float | None:
+        return None if not self.total else min(100.0, round(100.0 * self.rows / self.total))
 
     def onQueryStarted(self, event) -> None:
-        pass
+        self.phase = "running"
 
     def onQueryProgress(self, event) -> None:
         self.rows += event.progress.numInputRows
         self.batches += 1
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        self.phase = "failed" if event.exception else "done"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.export import write_markdown
 from gridloom.sources import documents as dc
+from gridloom.sources import ingestion
 from gridloom.streaming import sections as st
 
 
@@ -90,3 +91,43 @@ def test_close_by_timeout():
 def test_figures_of_null_nodes(spark):
     df = spark.createDataFrame([("d", 1, None)], "summary_id string, section_id long, nodes array<struct<kind string, text string>>")
     assert st.section_figures(df).select(F.coalesce("n_chars", F.lit(-1)).alias("n")).first().n == -1
+
+
+def test_ingestion_records(spark):
+    import json
+
+    good = {"source": "a", "document_type": "BOQ_RAW", "schema_version": "1", "checksum": "sha256:" + "0" * 64, "origin_signature": "ed25519:" + "a" * 128, "extraction_meta": {"engine": "calamine", "engine_version": "1.2", "timestamp": "2026-01-10T10:46:54Z"}}
+    rows = {
+        "good": good,
+        "more": {**good, "extra": [1], "pages": [{"page": 1, "content_type": "text"}], "validation_warnings": [{"code": "LOW_CONFIDENCE", "message": "m"}]},
+        "source": {**good, "source": "b"},
+        "pages": {**good, "pages": [{"page": 1, "content_type": "text", "confidence": 1.5}]},
+        "validation_warnings": {**good, "validation_warnings": [{"code": "OTHER", "message": "m"}]},
+        "extraction_meta missing": {k: v for k, v in good.items() if k != "extraction_meta"},
+        "origin_signature": {**good, "origin_signature": "ed25519:zz"},
+    }
+    texts = [(k, json.dumps(v)) for k, v in rows.items()] + [("null", None), ("empty", ""), ("list", "[]"), ("cut", '{"source": "a"')]
+    df = spark.createDataFrame(texts, "name string, json string").withColumns({"rejections": F.lit("mine"), "record": F.lit(1)})
+    got = {r.name: r.rejections for r in ingestion.validate_records(df, source="a", schema_version="1").collect()}
+    assert got["good"] == got["more"] == []
+    assert all(got[k] == [k] for k in rows if k not in ("good", "more"))
+    assert all(got[k] == ["record"] for k in ("null", "empty", "list", "cut"))
+    assert ingestion.validate_records(df.limit(0)).count() == 0
+
+
+def test_skipped_pages(spark):
+    pages = spark.createDataFrame([("a", 1, "two", False), ("a", 0, "one", False), ("a", 2, "lost", True), ("b", 0, None, False), ("c", 0, None, True)], "summary_id string, page int, text string, failed boolean")
+    got = {r.summary_id: (r.markdown, r.pages, r.skipped) for r in ingestion.skipped_pages(pages).collect()}
+    assert got == {"a": ("one\n\ntwo\n\n[OCR_FAILED_PAGE_3]", 3, 1), "b": ("", 1, 0), "c": ("[OCR_FAILED_PAGE_1]", 1, 1)}
+
+
+def test_progress_of_a_known_total():
+    from types import SimpleNamespace
+
+    progress = st.Progress(total=200)
+    assert (progress.percent, progress.phase) == (0.0, "waiting")
+    progress.onQueryStarted(None)
+    progress.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(numInputRows=50)))
+    assert (progress.percent, progress.phase, progress.batches) == (25.0, "running", 1)
+    progress.onQueryTerminated(SimpleNamespace(exception=None))
+    assert progress.phase == "done" and st.Progress().percent is None
