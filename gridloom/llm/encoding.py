@@ -55,6 +55,8 @@ _SIGNS_IN_WORDS = frozenset("'’‘-–./+&_")
 _PLAIN_SIGNS = frozenset("≤≥±×÷½¼¾°²³µØΦ–—“”‘’«»…•₫€§№′″")
 _WORD = re.compile(r"[^\W\d_²³¹¼½¾]+")
 _LONE = frozenset("ØΦφµđĐøñæœßà")
+#: A diameter before or degrees after a number.
+_LOST_SIGN = re.compile(r"(?<!\S)\?(?=\d)|(?<=\d)\?(?=\s+[a-z])")
 _LOST_POWER = re.compile(r"(?<=\d)\s?[^\W\d_]{1,2}\?(?=[\s,.;)]|$)")
 _LOST_LETTER = re.compile(r"(?<=[^\W\d_])\?+(?=[^\W_])|(?<!\S)\?+(?=[^\W\d_]{1,})|(?<=[^\W\d_])\?{2,}|(?<=\d)\s?[^\W\d_]{1,2}\?(?=[\s,.;)]|$)|(?<!\S)\?{2,}(?!\S)")
 
@@ -74,8 +76,12 @@ def _may_have_lost(token: str) -> bool:
 
 
 def _lost_letters(text: str) -> bool:
-    """Question marks that stand for lost letters: in a word that may be Vietnamese, after a number's unit, or in several words."""
-    found = [m.start() for m in _LOST_LETTER.finditer(text)] if "?" in text else []
+    """Question marks that stand for lost letters: in a word that may be Vietnamese, at a number, or in several words."""
+    if "?" not in text:
+        return False
+    if _LOST_SIGN.search(text):
+        return True
+    found = [m.start() for m in _LOST_LETTER.finditer(text)]
     if not found:
         return False
     words = [m.group() for m in _TOKEN_WITH_MARK.finditer(text) if any(m.start() <= k < m.end() for k in found)]
@@ -151,7 +157,7 @@ def _pair(wrong: str, right: str, word: str) -> str | None:
 
 
 #: Accents after a vowel that neither French nor German write: what VNI marks look like.
-_AFTER_VOWEL = re.compile(r"[aeiouy][âàåãä]|[aeiuy]ù|[aeiuy]û|aï[^sfvrqn]|[ae]ô|[iuy]ø|[aeiouy]á")
+_AFTER_VOWEL = re.compile(r"[aeiouy][âàåãä]|[aeiuy]ù|[aeiuy]û|aï[^sfvrqn]|(?<!o)uï|[ae]ô|[iuy]ø|[aeiouy]á")
 
 
 @functools.lru_cache(1 << 16)
@@ -219,7 +225,7 @@ def word_cost(word: str) -> float:
             cost += 2.0
         elif c.isalpha() or unicodedata.combining(c):
             continue
-        elif code in (0xA0, 0xAD) or 0x200B <= code <= 0x200F or 0x2000 <= code <= 0x202F or code in (0x3000, 0xFEFF, 0x2060):
+        elif code in (0xA0, 0xAD) or 0x2000 <= code <= 0x200F or 0x2028 <= code <= 0x202F or code in (0x3000, 0xFEFF, 0x2060):
             cost += 0.1
         elif 0x3001 <= code <= 0x303F or 0xFF01 <= code <= 0xFF65:
             cost += 0.0
@@ -343,6 +349,20 @@ def _families(text: str):
     yield 0.5, 1.0, utf8
 
 
+_VIETNAMESE_PAGES = ("tcvn3", "vni", "cp1258")
+
+
+def _reads_well(text: str, new: str, label: str) -> bool:
+    """Whether the words that a single-byte reading changes become plain ones, Vietnamese ones for a Vietnamese page."""
+    changed = [b for a, b in zip(text.split(), new.split()) if a != b]
+    if not changed or sum(map(word_cost, changed)) > 0.5 * len(changed):
+        return False
+    if label.startswith(_VIETNAMESE_PAGES):
+        own = [m.group() for w in changed for m in _WORD.finditer(unicodedata.normalize("NFC", w)) if not m.group().isascii()]
+        return 2 * sum(map(is_vietnamese_syllable, own)) >= max(1, len(own)) and not any(map(unicodedata.combining, unicodedata.normalize("NFC", new)))
+    return True
+
+
 def _all_vietnamese(text: str) -> bool:
     return all(m.group().isascii() and len(m.group()) == 1 or is_vietnamese_syllable(m.group()) for m in _WORD.finditer(text))
 
@@ -369,8 +389,10 @@ def repair(text: str) -> tuple[str, str | None, str | None]:
                 again = dict(steps)
                 tried = [(min(c, cost(again[label](new))), c, label, new) for c, label, new in tried]
                 tried = [(c, label, new) for after, c, label, new in sorted(tried)[:1] if after <= stays * before]
-            # a reading without letters is none
+            # a reading without letters is none, nor is one that leaves the words it changes as odd as they were
             tried = [x for x in tried if any(map(str.isalpha, x[2]))]
+            if steps[0][0].startswith("tcvn3"):
+                tried = [x for x in tried if _reads_well(now, x[2], x[1])]
             if steps[0][0].startswith(CJK):
                 tried = [x for x in tried if _mostly_cjk(x[2])]
             best = min(tried, default=None)

@@ -68,7 +68,17 @@ def test_little_evidence_is_none(text):
     assert encoding.repair(text)[0] == ""
 
 
-@pytest.mark.parametrize("text", ["ph?n móng", "B?I ??T", "n??c", "L?p d?ng", "5 m?, cao", "fa?ade du b?timent"])
+@pytest.mark.parametrize("text", ["Thép hìrih I80 mạ nóng", "tại pliân khu phía Đông", "Ex¢avation in soft ground, depth 2 m²", "Béton armé de façade, côté ¢our"])
+def test_scan_noise_is_no_garbling(text):
+    assert encoding.repair(text) == ("", None, None)
+
+
+def test_little_text_in_a_legacy_font():
+    assert encoding.repair("xem phuï luïc")[:2] == ("restored", "xem phụ lục")
+    assert encoding.repair("ouï, inouï")[0] == ""
+
+
+@pytest.mark.parametrize("text", ["Steel pipe ?240 mm, 45? bend", "ph?n móng", "B?I ??T", "n??c", "L?p d?ng", "5 m?, cao", "fa?ade du b?timent"])
 def test_lost_letters(text):
     assert encoding.repair(text) == ("lost", None, None)
 
