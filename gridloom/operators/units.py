@@ -124,7 +124,7 @@ class _UnitCounts:
         self.all /= self.all.sum()
         self.by_base = self._table(zip(column.base, column.y, strict=True))
         self.by_source = self._table(zip(zip(column.base, column.source, strict=True), column.y, strict=True))
-        self.by_other = self._table((o, k) for others, k in zip(column.others, column.y, strict=True) for o in others)
+        self.by_other = self._table((o, k) for others, k in zip(column.others, column.y, strict=True) if others is not None for o in others)
         size = sample.magnitude.to_numpy(float)
         self.size: dict = {}
         for key, at in [*sample.groupby(y).indices.items(), *sample.groupby([sample.base, y]).indices.items()]:
@@ -237,14 +237,12 @@ PREDICTION = T.StructType([T.StructField("unit", T.StringType()), T.StructField(
 
 def _predict_column(shared):
     @F.pandas_udf(PREDICTION)
-    def predict(missing: pd.Series, features: pd.DataFrame) -> pd.DataFrame:
+    def predict(features: pd.DataFrame) -> pd.DataFrame:
         model = shared.value
-        out = pd.DataFrame({"unit": pd.Series([None] * len(missing), dtype=object), "confidence": np.full(len(missing), np.nan)})
-        at = np.flatnonzero(missing.to_numpy(bool))
-        if model.trees is not None and len(at):
-            unit, confidence = model.predict(features.iloc[at])
-            out.loc[at, "unit"], out.loc[at, "confidence"] = unit, confidence
-        return out
+        if model.trees is None or not len(features):
+            return pd.DataFrame({"unit": pd.Series([None] * len(features), dtype=object), "confidence": np.full(len(features), np.nan)})
+        unit, confidence = model.predict(features)
+        return pd.DataFrame({"unit": pd.Series(unit, dtype=object), "confidence": confidence})
 
     # else the optimizer copies it into filters on what it gives
     return predict.asNondeterministic()
@@ -268,9 +266,11 @@ def convert_units(cells: DataFrame, extracted_tables: DataFrame, unit_catalog: D
     shared = numbers.sparkSession.sparkContext.broadcast(fit_units(sample))
     counted = F.col("needs_row") & F.col("row_unit_text").isNotNull() & F.col("recorded").isNull()
     missing = F.col("recorded").isNull() & ~F.coalesce(counted, F.lit(False))
-    with_features = numbers.withColumn("features", F.struct(*_features())).withColumn("guess", _predict_column(shared)(missing, F.col("features")))
+    # only cells without a unit enter Python
+    asked = numbers.where(missing).withColumn("features", F.struct(*_features())).withColumn("guess", _predict_column(shared)(F.col("features"))).drop("features")
+    both = asked.unionByName(numbers.where(~missing).withColumn("guess", F.lit(None).cast(PREDICTION)))
     sure = missing & (F.col("guess.confidence") >= confident)
-    done = with_features.select(
+    done = both.select(
         "global_id",
         "table_id",
         "row_pos",
