@@ -20,12 +20,13 @@ import functools
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.text import LOOKALIKES, ignorable_characters, ignorable_table, space_table
+from gridloom.functions.text import LOOKALIKES, ignorable_characters, ignorable_class, ignorable_table, space_table
 
 #: Only inside a word with Latin letters: alone they are signs or letters of their own.
 _IN_WORDS = {"ν": "v", "α": "a", "ι": "i", "κ": "k", "ρ": "p", "υ": "u", "в": "b", "к": "k", "м": "m", "н": "h", "т": "t"}
@@ -53,9 +54,16 @@ def _latin(m: re.Match) -> str:
     return "".join(table.get(c, c) for c in word)
 
 
+@functools.cache
+def _odd() -> re.Pattern:
+    """Characters that the clean form may change."""
+    others = {*map(chr, {**space_table(), **_FULL_WIDTH}), *LOOKALIKES, *_IN_WORDS}
+    return re.compile(f"[{ignorable_class()}{''.join(map(re.escape, sorted(others)))}]")
+
+
 def clean_form(text: str) -> str:
     """The text with the expected characters; what can be seen stays as it is."""
-    if text.isascii():
+    if text.isascii() or not _odd().search(text) and unicodedata.is_normalized("NFC", text):
         return text
     return _FOREIGN_WORD.sub(_latin, unicodedata.normalize("NFC", text.translate(_invisible())))
 
@@ -76,6 +84,12 @@ def unify_column(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([*done, (False, None, None)], columns=["altered", "clean", "canonical"]).iloc[codes].reset_index(drop=True)
 
 
+@F.pandas_udf(T.BooleanType())
+def altered_column(text: pd.Series) -> pd.Series:
+    codes, values = pd.factorize(text)
+    return pd.Series(np.array([*(clean_form(v) != v for v in values), False], bool)[codes])
+
+
 def field_texts(physical_rows: DataFrame, extracted_tables: DataFrame) -> DataFrame:
     """field, table_id, row_pos, cell_pos, text of all cells and column names."""
     cells = physical_rows.select(F.lit("raw_text").alias("field"), "table_id", F.col("row_pos").cast("int").alias("row_pos"), F.posexplode("cells").alias("cell_pos", "cell")).select("field", "table_id", "row_pos", "cell_pos", F.col("cell.raw_text").alias("text"))
@@ -90,7 +104,7 @@ def unified(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def altered_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     """Rows whose characters are not the expected ones; ASCII text does not enter Python."""
-    return unified(texts.where(F.col(text).rlike(r"[^\x00-\x7F]")), text).where("unified.altered")
+    return texts.where(F.col(text).rlike(r"[^\x00-\x7F]")).where(altered_column(F.col(text)))
 
 
 #: For the SQL check: the characters of a case, as ranges of a regular expression.
