@@ -780,6 +780,27 @@ def document_summary(spark: SparkSession, folder: str) -> DataFrame:
     return process_documents(_files(spark, folder)).select("source_path", "total_pages", "has_ocr", F.md5("markdown").alias("md5"), "error_code")
 
 
+@_query(
+    "document_ids",
+    r"""WITH f AS (SELECT DISTINCT source_path AS path, strlen(markdown) AS length, markdown FROM document_summary WHERE source_path IS NOT NULL AND markdown IS NOT NULL),
+g AS (SELECT *, regexp_extract(path, '([^/\\]*)$', 1) AS name FROM f WHERE lower(regexp_extract(regexp_extract(path, '([^/\\]*)$', 1), '[^.]\.([^.]*)$', 1)) IN ('pdf', 'docx'))
+SELECT path, length, count(*) OVER (PARTITION BY path, length) AS same_id, count(*) OVER (PARTITION BY name, markdown) AS same_section FROM g""",
+)
+def document_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids have no fixed values: how many documents share each, by path and size, and each section, by name and text."""
+    ids = process_documents(_files(spark, folder)).where("error_code IS NULL").select(F.col("source_path").alias("path"), F.col("id"), F.col("section_id"), F.col("markdown"))
+    files = _files(spark, folder).where("path IS NOT NULL AND content IS NOT NULL").select("path", "length", F.md5("content").alias("content"))
+    named = files.join(ids.select("path", "id", "section_id").distinct(), "path")
+    each = named.groupBy("id").agg(F.countDistinct("path", "length", "content").alias("same_id"))
+    sections = named.groupBy("section_id").agg(F.countDistinct("path", "length", "content").alias("same_section"))
+    return named.join(each, "id").join(sections, "section_id").select("path", "length", "same_id", "same_section")
+
+
+@_query("section_ids", "SELECT section_id FROM sections")
+def section_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return index.section_ids(load(spark, folder, "sections"))
+
+
 @_query(
     "decoded_bytes",
     rf"""WITH f AS (SELECT DISTINCT source_path AS path, regexp_extract(source_path, '([^/\\]*)$', 1) AS name, markdown AS m FROM document_summary WHERE source_path IS NOT NULL AND markdown IS NOT NULL)
