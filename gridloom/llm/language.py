@@ -69,10 +69,10 @@ def label_language(label: Column) -> Column:
     plain = F.lower(F.regexp_replace(label, r"(?U)^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
     base = F.regexp_extract(plain, r"^([^-_(/,;. ]+)", 1)
     spelled = F.regexp_replace(plain, " ", "_")
-    named = F.lit(None).cast("string")
-    for code, spellings in LABELS.items():
-        named = F.when(base.isin(*spellings.split()) | spelled.isin(*spellings.split()), code).otherwise(named)
-    return F.when(plain.isNull() | plain.isin(*UNKNOWN_LABELS), None).otherwise(F.coalesce(named, plain))
+    # one text literal: the optimizer folds it to a map instead of a chain of comparisons
+    codes = {s: code for code, spellings in LABELS.items() for s in spellings.split()}
+    lookup = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in codes.items())), F.lit("\n"), F.lit("\t"))
+    return F.when(~plain.isin(*UNKNOWN_LABELS), F.coalesce(F.try_element_at(lookup, base), F.try_element_at(lookup, spelled), plain))
 
 
 # ---------------------------------------------------------------- characters
@@ -518,11 +518,13 @@ def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAG
     at most ``SAMPLE_CHARS`` characters, so that what reaches the driver is bounded.
     """
     labelled = documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", label_language(F.col("lang")).alias("lang")).where(F.col("lang").isin(*LANGUAGES))
-    hashed = labelled.withColumn("hash", F.xxhash64(F.lit(7), "doc_id"))
-    # first within parts of each language: the last step sees a bounded number of rows
-    for keys in (["lang", F.pmod("hash", F.lit(61))], ["lang"]):
-        hashed = hashed.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "doc_id"))).where(F.col("place") <= per_language).drop("place")
-    chosen = hashed.drop("hash").dropDuplicates(["doc_id"])
+    # hashes below a share of their range that holds several times the wanted number of each language
+    count = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.coalesce(*(F.when(F.col("lang") == code, F.lit(min(1.0, (4 * per_language + 100) / n))) for code, n in count.items()), F.lit(0.0))
+    part = F.pmod("hash", F.lit(1 << 40)) / (1 << 40)
+    few = labelled.withColumn("hash", F.xxhash64(F.lit(7), "doc_id")).where(part < share)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    chosen = few.withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", "lang").dropDuplicates(["doc_id"])
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", _sample_text("text").alias("text"), "lang")
     return bounded_rows(texts, "language-sample").orderBy("doc_id", "text").toPandas()
 
