@@ -24,7 +24,7 @@ def _snapper(tolerance: float):
         open_row: pd.DataFrame | None = None
         for batch in batches:
             rows = np.empty(len(batch), np.int32)
-            for i, (p, cy) in enumerate(zip(batch.page_id, batch.cy, strict=True)):
+            for i, (p, cy) in enumerate(zip(batch.page_id.tolist(), batch.cy.tolist(), strict=True)):
                 if p != page:
                     page, leader, number = p, cy, 0
                 elif not abs(cy - leader) <= tolerance:
@@ -43,9 +43,14 @@ def _snapper(tolerance: float):
 
 
 def _placed(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["page_id", "row_no", "x0", "cy", "seq"], kind="stable", ignore_index=True)
-    rows["place"] = rows.groupby(["page_id", "row_no"], sort=False).cumcount()
-    return rows[["page_id", "row_no", "place", "seq", "text", "x0", "y0", "x1", "y1"]].astype({"row_no": "int32", "place": "int32"})
+    page, number = rows.page_id.to_numpy(), rows.row_no.to_numpy(np.int32)
+    rows = rows.take(np.lexsort((rows.seq, rows.cy, rows.x0, number, page)))
+    page, number = rows.page_id.to_numpy(), rows.row_no.to_numpy(np.int32)
+    # the place within the row: how far each element is from where its row begins
+    begins = np.r_[True, (page[1:] != page[:-1]) | (number[1:] != number[:-1])][: len(rows)]
+    at = np.arange(len(rows))
+    place = at - np.maximum.accumulate(np.where(begins, at, 0)) if len(rows) else at
+    return rows.assign(row_no=number, place=place.astype(np.int32))[["page_id", "row_no", "place", "seq", "text", "x0", "y0", "x1", "y1"]]
 
 
 def snap_rows(elements: DataFrame, tolerance: float = SNAP_TOLERANCE) -> DataFrame:
