@@ -162,6 +162,32 @@ def _plausible(word: str) -> float:
     return 2.0 if is_vietnamese_syllable(word) else 1.0
 
 
+# Pairs of what is written and what scanners read.
+_MISREAD = [("m", "rn"), ("n", "ri"), ("d", "cl"), ("h", "li"), ("h", "b"), ("u", "ii"), ("u", "v"), ("w", "vv"), ("e", "c"), ("b", "6"), ("b", "h"), ("b", "lo"), ("g", "9"), ("g", "q"), ("g", "6"), ("o", "0"), ("o", "°"), ("l", "1"), ("i", "1"), ("i", "!"), ("i", "l"), ("l", "|"), ("l", "i"), ("s", "5"), ("t", "7"), ("t", "+"), ("t", "f"), ("f", "t"), ("a", "@"), ("c", "¢"), ("z", "2"), ("í", "i"), ("í", "l"), ("ì", "l"), ("à", "@"), ("c", "e"), ("v", "u"), ("q", "g"), ("b", "8"), ("đ", "d")]
+_READ_AS: dict[str, list[tuple[str, str]]] = defaultdict(list)
+for _a, _b in _MISREAD:
+    _READ_AS[_a[0]].append((_a, _b))
+#: Misreadings beyond which two words count as unlike.
+FAR = 4
+
+
+def misreadings(word: str, other: str) -> int:
+    """The least number of misreadings that make ``word`` of ``other``; ``FAR`` where they do not, or not so few."""
+    best = {(0, 0): 0}
+    todo = [(0, 0)]
+    while todo:
+        i, j = todo.pop()
+        n = best[i, j]
+        steps = [(a, b) for a, b in _READ_AS.get(other[i : i + 1], ()) if other.startswith(a, i) and word.startswith(b, j)] if n + 1 < FAR else []
+        same = i < len(other) and j < len(word) and other[i] == word[j]
+        for di, dj, cost in [*((len(a), len(b), 1) for a, b in steps), *([(1, 1, 0)] if same else [])]:
+            at = (i + di, j + dj)
+            if n + cost < best.get(at, FAR):
+                best[at] = n + cost
+                todo.append(at)
+    return best.get((len(other), len(word)), FAR)
+
+
 def pair_features(word: str, n: float, other: str, m: float, overlap: float) -> list[float]:
     a, b = _middles(word, other)
     odd = sum(not (c.isalpha() or c in "-'’") for c in word)
@@ -178,12 +204,10 @@ def pair_features(word: str, n: float, other: str, m: float, overlap: float) ->
         float(a != b and _bare(a) == _bare(b)),
         math.log(m),
         float(is_vietnamese_syllable(_bare(word)) if _plausible(word) else 0.0),
+        float(misreadings(word, other)),
     ]
 
 
-_MISREAD = [("m", "rn"), ("n", "ri"), ("d", "cl"), ("h", "li"), ("h", "b"), ("u", "ii"), ("u", "v"), ("w", "vv"), ("e", "c"), ("b", "6"), ("b", "h"), ("b", "lo"), ("g", "9"), ("g", "q"), ("g", "6"), ("o", "0"), ("o", "°"), ("l", "1"), ("i", "1"), ("i", "!"), ("i", "l"), ("l", "|"), ("l", "i"), ("s", "5"), ("t", "7"), ("t", "+"), ("t", "f"), ("f", "t"), ("a", "@"), ("c", "¢"), ("z", "2"), ("í", "i"), ("í", "l"), ("ì", "l"), ("à", "@"), ("c", "e"), ("v", "u"), ("q", "g")]
-
-
 def misread(word: str, rng: random.Random) -> str:
     """The word with one or two characters misread as scanners do."""
     for _ in range(1 if rng.random() < 0.85 else 2):
@@ -225,7 +249,7 @@ def fit_ranker(words: list[tuple[str, int]], seed: int = 3) -> GradientBoosting:
             for c, overlap in candidates(s, k):
                 x.append(pair_features(s, k, c, counts[c], overlap))
                 y.append(int(c == w))
-    return GradientBoosting(trees=50, depth=4).fit(np.array(x).reshape(-1, 12), np.array(y, int))
+    return GradientBoosting(trees=50, depth=4).fit(np.array(x).reshape(-1, 13), np.array(y, int))
 
 
 # ---------------------------------------------------------------- vocabulary and corrections
