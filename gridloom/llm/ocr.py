@@ -224,6 +224,7 @@ def fit_ranker(words: list[tuple[str, int]], seed: int = 3) -> GradientBoosting:
     rng = random.Random(seed)
     counts = dict(words)
     index: dict[str, list[str]] = defaultdict(list)
+    size = {w: len(grams(w)) for w in counts}
     for w in counts:
         for g in grams(w):
             index[g].append(w)
@@ -232,8 +233,8 @@ def fit_ranker(words: list[tuple[str, int]], seed: int = 3) -> GradientBoosting:
         overlaps: dict[str, float] = {}
         for own in map(_grams_of, shapes(word)):
             for c, k in Counter(c for g in own for c in index.get(g, ())).items():
-                if c != word and counts[c] >= 3 * n and 2 * k >= max(len(own), len(grams(c))):
-                    overlaps[c] = max(overlaps.get(c, 0.0), k / max(len(own), len(grams(c))))
+                if c != word and counts[c] >= 3 * n and 2 * k >= max(len(own), size[c]):
+                    overlaps[c] = max(overlaps.get(c, 0.0), k / max(len(own), size[c]))
         return list(overlaps.items())
 
     x, y = [], []
