@@ -24,7 +24,7 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_rejoined(spark: SparkSession, folder: str) -> DataFrame:
     whole = split.rejoined(p1_pieces(spark, folder))
-    return whole.select("item_kind", "item_id", F.md5("text").alias("md5"), F.length("text").alias("n_chars"), "longest").join(load(spark, folder, "size_limits"), "item_kind").select("item_kind", "item_id", "md5", "n_chars", (F.col("longest") <= F.col("max_chars")).alias("within"))
+    return whole.select("item_kind", "item_id", F.md5("text").alias("md5"), F.length("text").cast("long").alias("n_chars"), "longest").join(load(spark, folder, "size_limits"), "item_kind").select("item_kind", "item_id", "md5", "n_chars", (F.col("longest") <= F.col("max_chars")).alias("within"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
