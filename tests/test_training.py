@@ -139,6 +139,19 @@ def test_order_of_units(spark):
     assert got["none"].common_value is None and got["lost"].origin in ("review", "predicted")
 
 
+def test_recorded_units_need_no_classifier(spark, data, monkeypatch):
+    from gridloom.operators import units as operator
+    from gridloom.plans.training import QUERIES
+
+    fitted = []
+    fit = operator.fit_units
+    monkeypatch.setattr(operator, "fit_units", lambda sample: fitted.append(len(sample)) or fit(sample))
+    found = QUERIES["p2_found"](spark, data)
+    assert found.count() > 0 and not fitted and "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    # where it does change rows, it still runs
+    assert QUERIES["p2_converted"](spark, data).where("origin IN ('predicted', 'review') AND unit_code IS NOT NULL").count() > 0 and fitted
+
+
 def test_units_of_empty_tables(spark):
     assert units(spark, [], []) == {}
 
